@@ -1,32 +1,12 @@
-"""What the operators need from the Spark session: tables, checkpoints, sizes."""
+"""What the operators need from the Spark session."""
 
 from __future__ import annotations
 
-import tempfile
-
 from pyspark.sql import DataFrame, SparkSession
 
+from feedweave.operators.components import cut as cut
+
 
 def table(spark: SparkSession, sf_dir: str, name: str, *columns: str) -> DataFrame:
     """Read one table and keep `columns` only, so extra columns can't clash."""
     return spark.read.parquet(f"{sf_dir}/{name}.parquet").select(*columns)
-
-
-def cut(df: DataFrame) -> DataFrame:
-    """Cut the lineage with a checkpoint in the shared folder of the session.
-
-    The folder is `spark.checkpoint.dir`.  Where that is unset (a local test
-    session) a temporary folder of this machine is used.
-    """
-    spark = df.sparkSession
-    if not spark.conf.get("spark.checkpoint.dir", None):
-        context = spark.sparkContext
-        if context._jsc.sc().getCheckpointDir().isEmpty():
-            if not context.master.startswith("local[") and context.master != "local":
-                raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
-            context.setCheckpointDir(tempfile.mkdtemp(prefix="feedweave-"))
-    return df.checkpoint()
-
-
-def partitions(spark: SparkSession) -> int:
-    return int(spark.conf.get("spark.sql.shuffle.partitions", "200"))
