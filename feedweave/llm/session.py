@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import tempfile
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 
 from feedweave.operators.components import cut as cut
@@ -10,3 +13,16 @@ from feedweave.operators.components import cut as cut
 def table(spark: SparkSession, sf_dir: str, name: str, *columns: str) -> DataFrame:
     """Read one table and keep `columns` only, so extra columns can't clash."""
     return spark.read.parquet(f"{sf_dir}/{name}.parquet").select(*columns)
+
+
+def written(df: DataFrame, name: str) -> DataFrame:
+    """`df` written as Parquet to the session's shared folder and read again."""
+    spark = df.sparkSession
+    shared = spark.conf.get("spark.checkpoint.dir", None)
+    if not shared:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
+        shared = tempfile.mkdtemp(prefix="feedweave-")
+    path = f"{shared}/{name}-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.parquet(path)

@@ -21,7 +21,8 @@ _SPACE = np.zeros(256, bool)
 _SPACE[[0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D]] = True
 _FOLD = np.arange(256, dtype=np.uint8)
 _FOLD[65:91] += 32
-_VALUE = np.random.default_rng(20240607).integers(1, 1 << 63, 256, dtype=np.uint64)[_FOLD] | np.uint64(1)
+_VALUE_EXACT = np.random.default_rng(20240607).integers(1, 1 << 63, 256, dtype=np.uint64) | np.uint64(1)
+_VALUE = _VALUE_EXACT[_FOLD]
 _BASE = 0x9E3779B97F4A7C15
 _powers = (np.ones(1, np.uint64), np.ones(1, np.uint64))
 
