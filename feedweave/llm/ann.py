@@ -57,14 +57,16 @@ class Tree:
                 node[rows] = some[np.argmax(x[rows] @ c.T - 0.5 * (c * c).sum(1), axis=1)]
         return self.leaf[node]
 
-    def order(self, promise: np.ndarray, visits: int) -> list[int]:
-        """The first leaves best-bin-first; promise: inner product of the query with each centroid."""
-        queue, out = [(-np.inf, 0)], []
+    def order(self, promise: np.ndarray, visits: int, sizes: np.ndarray | None = None, least: int = 0) -> list[int]:
+        """The first leaves best-bin-first; promise: inner product of the query with each
+        centroid.  With sizes, visits widen until the leaves hold `least` entries."""
+        queue, out, held = [(-np.inf, 0)], [], 0
         first, children, leaf = self.first, self.children, self.leaf
-        while queue and len(out) < visits:
+        while queue and (len(out) < visits or held < least):
             _, node = heapq.heappop(queue)
             if leaf[node] >= 0:
                 out.append(int(leaf[node]))
+                held += int(sizes[leaf[node]]) if sizes is not None else 0
             else:
                 for child in range(first[node], first[node] + children[node]):
                     heapq.heappush(queue, (-promise[child], child))
@@ -187,10 +189,12 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int = 20, recall: float =
     index = cut(whole.mapInArrow(place, "leaf long, vec binary, ids array<long>"))
     asked = cut(_packed(queries, key, vector).withColumnRenamed("id", "query_id"))
     visits = _visits(tree, index, asked, k, recall)
-    blocks = np.ones(tree.leaves, np.int64)
+    sizes = np.zeros(tree.leaves, np.int64)
     for r in index.groupBy("leaf").count().collect():  # a row a leaf
-        blocks[r["leaf"]] = -(-r["count"] // BLOCK)
+        sizes[r["leaf"]] = r["count"]
+    blocks = np.maximum(1, -(-sizes // BLOCK))
     reference = sample[:BLOCK]
+    reference_leaf = tree.assign(reference)
 
     def walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -198,11 +202,17 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int = 20, recall: float =
                 part = batch.slice(low, 256)
                 q = _matrix(part.column(0))
                 known = q @ reference.T
-                # a neighbour among the nearest of all scores no less than the k + 1st of any part of them
-                least = np.sort(known, axis=1)[:, -keep] - 1e-9 if known.shape[1] >= keep else np.full(len(q), -np.inf)
+                # what is among the nearest found scores no less than the k + 1st of any part of it
+                least = np.full(len(q), -np.inf)
                 who, leaf, block = [], [], []
                 for i, promise in enumerate(q @ tree.centroids.T):
-                    for x in tree.order(promise, visits):
+                    visited = tree.order(promise, visits, sizes, keep)
+                    seen = np.zeros(tree.leaves, bool)
+                    seen[visited] = True
+                    found = known[i][seen[reference_leaf]]
+                    if len(found) >= keep:
+                        least[i] = np.partition(found, -keep)[-keep] - 1e-9
+                    for x in visited:
                         for b in range(blocks[x]):
                             who.append(i)
                             leaf.append(x)
