@@ -182,3 +182,16 @@ def test_segments():
 def test_classified_frame(spark):
     frame = spark.createDataFrame([("Harbour Board", None, None), (None, None, None)], "title string, summary string, isOfficial boolean")
     assert sorted(r["s"] for r in classified(frame, RULES, ISSUES, PEOPLE).select(F.col("classification.relevanceScore").alias("s")).collect()) == [0, 20]
+
+
+def test_local_bodies_and_other_languages():
+    import re
+
+    from feedweave.operators.classify import local_body, multilingual_governance, video_segments
+
+    pattern = re.compile(local_body(["부산", "부산진"], ["해운대"], "축구협회"))
+    assert pattern.search("부산광역시 축구협회") and pattern.search("해운대구 축구협회") and not pattern.search("대한축구협회") and not pattern.search("해운대 축구협회")
+    assert not re.search(local_body([], [], "x"), "x")
+    assert video_segments("a | b - c//d 1/2", None) == ["a", "b", "c", "d 1", "2"]
+    assert multilingual_governance("Korean Football Association faces sanction", None)
+    assert multilingual_governance("STY dan KFA: sanksi FIFA", "") and not multilingual_governance("KFA", "sanction") and not multilingual_governance("STY KFA sanksi", "")
