@@ -65,4 +65,4 @@ def queries() -> dict[str, Query]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op4_chat": chat.ORACLE}
+    return {"op2_secrets": secrets.ORACLE, "op4_chat": chat.ORACLE, "op8_near_duplicates": near_dedup.ORACLE}
