@@ -7,8 +7,8 @@ extracted again from the container of its host's winning path.  A page without t
 path uses its own best container.
 
 Votes are summed before they are shuffled and a host has one winner, so the pages are
-joined with one row a host: Spark broadcasts it if its measured size is small and else
-splits the hosts that hold many pages.
+joined with one row a host.  Up to BROADCAST_HOSTS hosts, by count, go to every task and
+the pages stay where they are; beyond that the pages of a host are dealt over SALTS keys.
 """
 
 from __future__ import annotations
@@ -22,6 +22,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from feedweave.llm.session import cut
+
+#: Hosts whose paths, some hundred bytes each, are broadcast; keys of a host beyond that.
+BROADCAST_HOSTS, SALTS = 100_000, 32
 _VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 _BLOCK = frozenset(
     "address article aside blockquote body center dd details dialog dir div dl dt fieldset figcaption figure footer form frameset h1 h2 h3 h4 h5 h6 "
@@ -198,8 +202,12 @@ def extract(pages: DataFrame, key: str = "page_id", url: str = "url", html: str
     """
     host = F.lower(F.regexp_extract(F.col(url), r"^\s*[a-zA-Z][\w+.-]*://(?:[^/?#@]*@)?([^/?#:]+)", 1))
     rows = pages.select(F.col(key), F.col(url), F.col(html).alias("_html"), F.when(host != "", host).alias("_host"))
-    paths = host_paths(pages, url, html).select(F.col("host").alias("_host"), F.col("path").alias("_path"))
-    joined = rows.join(paths, "_host", "left").select(key, url, "_html", "_path")
+    paths = cut(host_paths(pages, url, html).select(F.col("host").alias("_host"), F.col("path").alias("_path")))
+    if paths.count() <= BROADCAST_HOSTS:
+        joined = rows.join(F.broadcast(paths), "_host", "left").select(key, url, "_html", "_path")
+    else:
+        salted = rows.withColumn("_salt", F.pmod(F.xxhash64("_html", key), F.lit(SALTS)).cast("int"))
+        joined = salted.join(paths.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)))), ["_host", "_salt"], "left").select(key, url, "_html", "_path")
     schema = T.StructType([joined.schema[key], joined.schema[url], T.StructField("text", T.StringType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

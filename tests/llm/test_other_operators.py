@@ -120,12 +120,15 @@ def test_chats_run_no_python(spark, capsys):
     assert not any(x in capsys.readouterr().out for x in ("Python", "Arrow", "Pandas"))
 
 
-def test_chat_sql(spark):
+@pytest.mark.parametrize("name", sorted(queries.oracle_sql()))
+def test_queries_give_the_rows_of_their_sql(spark, name):
     con = duckdb.connect()
-    con.execute(f"CREATE VIEW conversations AS SELECT * FROM '{SF}/conversations.parquet'")
-    want = con.sql(chat.ORACLE)
-    rows = queries.op4_chat(spark, SF).select(*want.columns).collect()
-    assert sorted(map(tuple, rows)) == sorted(want.fetchall())
+    for t in ("documents", "conversations"):
+        con.execute(f"CREATE VIEW {t} AS SELECT * FROM '{SF}/{t}.parquet'")
+    want = con.sql(queries.oracle_sql()[name])
+    df = queries.queries()[name](spark, SF)
+    assert sorted(df.columns) == sorted(want.columns)
+    assert sorted(map(tuple, df.select(*want.columns).collect())) == sorted(want.fetchall())
 
 
 # Pages
@@ -154,7 +157,9 @@ def test_main_text_of_a_page(html, text):
     assert p.text("/body/none") == text == p.text(None) or (html == page("") and p.text(None) in ("", text))
 
 
-def test_a_host_agrees_on_a_path(spark):
+@pytest.mark.parametrize("hosts", [100_000, 0])
+def test_a_host_agrees_on_a_path(spark, monkeypatch, hosts):
+    monkeypatch.setattr(html_main, "BROADCAST_HOSTS", hosts)
     # the comments of the last page are longer than its story, but not those of the host's others
     body = lambda story, talk: f'<body><div class="story-9"><p>{story}</p></div><div class="talk"><p>{talk}</p></div></body>'
     rows = [(i, f"https://H.example/{i}", body("story " * 40, "talk"), "x") for i in range(9)] + [(9, "http://h.example:80/9?x", body("short story", "talk " * 90), "x"), (10, None, "<p>alone</p>", "x"), (11, "https://h.example/11", None, "x")]
