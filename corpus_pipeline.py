@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from feedweave.llm import decontaminate, near_dedup, secrets, sp_sample, toxicity
-from feedweave.llm.session import table, written
+from feedweave.llm.session import small_batches, table, written
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 
@@ -25,17 +25,20 @@ def clean(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def distinct(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near copies: five-word shingles, similarity 0.8."""
+    small_batches(spark)
     return near_dedup.deduplicate(docs.select(*COLUMNS), size=5, threshold=80)
 
 
 def uncontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without a passage of the benchmark."""
+    small_batches(spark)
     return decontaminate.decontaminate(docs.select(*COLUMNS), table(spark, sf_dir, "benchmark", "item_id", "text"))
 
 
 def redacted(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All documents, with their secrets replaced by marks; n_chars is that of the new text
     where there was a secret."""
+    small_batches(spark)
     hidden = secrets.redact(docs.select(*COLUMNS).withColumn("_old", F.col("text")))
     changed = ~F.col("text").eqNullSafe(F.col("_old"))
     return hidden.withColumn("n_chars", F.when(changed, F.length("text").cast("long")).otherwise(F.col("n_chars"))).select(*COLUMNS)
@@ -43,6 +46,7 @@ def redacted(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def sampled(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Two sampled segmentations of every document."""
+    small_batches(spark)
     return sp_sample.encode(docs.select("doc_id", "text"), public_tokenizers.path("piece_bpe_32k.model"), k=2)
 
 

@@ -10,8 +10,17 @@ from pyspark.sql import DataFrame, SparkSession
 from feedweave.operators.components import cut as cut
 
 
+def small_batches(spark: SparkSession) -> None:
+    """Give Python fewer rows at once than Spark's default, which whole documents make
+    tens of megabytes on both sides; a number that was set stays."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if spark.conf.get(name) == "10000":
+        spark.conf.set(name, "2000")
+
+
 def table(spark: SparkSession, sf_dir: str, name: str, *columns: str) -> DataFrame:
     """Read one table and keep `columns` only, so extra columns can't clash."""
+    small_batches(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet").select(*columns)
 
 

@@ -7,6 +7,7 @@ shuffled, counted and compared in place of the words.
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -27,6 +28,13 @@ _BASE = 0x9E3779B97F4A7C15
 _powers = (np.ones(1, np.uint64), np.ones(1, np.uint64))
 
 
+def release() -> None:
+    """Return memory that this process has freed, which a kept Python worker would hold on to."""
+    pa.default_memory_pool().release_unused()
+    if (trim := getattr(ctypes.CDLL(None), "malloc_trim", None)) is not None:
+        trim(0)
+
+
 def mix(h: np.ndarray) -> np.ndarray:
     """A bijection of 64-bit values that spreads every input bit."""
     h = h ^ (h >> np.uint64(30))

@@ -77,12 +77,15 @@ def features(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndar
     return np.concatenate(rows), np.concatenate(out)
 
 
-def _incidence(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
-    """Distinct (row, feature) of some texts."""
+def _incidence(texts: list[str], only: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct (row, feature) of some texts; of the sorted features `only`, if given."""
     data, offsets = tx.buffers(pa.array(texts, pa.large_string()))
     rows, out = [], []
     for low, high in tx.slices(offsets):
         r, f = features(data, offsets[low : high + 1])
+        if only is not None:
+            known = only[np.minimum(np.searchsorted(only, f), len(only) - 1)] == f if len(only) else np.zeros(len(f), bool)
+            r, f = r[known], f[known]
         order = np.lexsort((f, r))
         r, f = r[order], f[order]
         new = np.ones(len(r), bool)
@@ -140,8 +143,11 @@ def lexicon(rows: np.ndarray, found: np.ndarray, toxic: np.ndarray) -> np.ndarra
         sure = 2 * sum(np.where(x > 0, x * np.log(x / e), 0) for x, e in ((on, rate * n[0]), (off, rate * n[1]), (n[0] - on, (1 - rate) * n[0]), (n[1] - off, (1 - rate) * n[1])))
     chosen = np.flatnonzero((sure >= SURE) & (on / n[0] > LIFT * off / n[1]))
     best = chosen[np.lexsort((keys[chosen], -sure[chosen]))[:VOTERS]]
-    seeds = _incidence([" ".join(SEED_WORDS)])[1]
-    return np.unique(np.concatenate([keys[best], seeds, [SHOUTING, EXCLAIMING]]))
+    return np.union1d(keys[best], _seeds())
+
+
+def _seeds() -> np.ndarray:
+    return np.union1d(_incidence([" ".join(SEED_WORDS)])[1], np.array([SHOUTING, EXCLAIMING]))
 
 
 def label_model(fired: np.ndarray, toxic: np.ndarray, rounds: int = 15) -> np.ndarray:
@@ -207,7 +213,9 @@ def fit(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "te
     if not 0 < toxic.sum() < len(toxic):
         keys = np.unique(_incidence([" ".join(SEED_WORDS)])[1])
         return Model(keys, np.full(len(keys), 2.0), -3.0)
-    found_rows, found = _incidence(texts)
+    # an entry of the lexicon occurs in two toxic rows at least, so only such features are kept in memory
+    mine, times = np.unique(_incidence([t for t, y in zip(texts, toxic, strict=True) if y])[1], return_counts=True)
+    found_rows, found = _incidence(texts, np.union1d(mine[times > 1], _seeds()))
     keys = lexicon(found_rows, found, toxic)
     fired = votes(found_rows, found, keys, len(texts))
     return classifier(fired, label_model(fired, toxic), keys)
