@@ -312,6 +312,23 @@ def test_near_duplicates_are_those_of_all_pairs(spark, size):
     assert all(got[i]["kept"] == (homes[i] == i) for i in range(len(texts)))
 
 
+def test_near_duplicates_in_a_group_that_shares_a_passage(spark):
+    rng = random.Random(5)
+
+    def own(n):
+        return [f"p{rng.randrange(10**9)}" for _ in range(n)]
+
+    passage = own(90)  # 89 shingles in common of 113, with one more 90 of 112
+    texts = [" ".join(passage + own(12)) for _ in range(200)]
+    for _ in range(12):
+        private = own(12)
+        texts += [" ".join(passage + private), " ".join(passage + private[:1] + own(11))]
+    _, homes = brute_components(texts, 2, 80)
+    assert sum(homes[i] != i for i in range(len(texts))) == 12
+    got = {r["doc_id"]: r["component_id"] for r in near_dedup.near_duplicates(docs(spark, texts), 2, 80).collect()}
+    assert [got[i] for i in range(len(texts))] == homes
+
+
 def test_near_duplicates_of_odd_rows(spark):
     frame = spark.createDataFrame([(None, "a b c"), (None, "a b c"), (3, "a b c"), (3, "a b c"), (1, "a b c"), (9, None)], "doc_id long, text string")
     rows = sorted(((r["doc_id"], r["component_id"], r["kept"]) for r in near_dedup.near_duplicates(frame).collect()), key=repr)
