@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from feedweave.llm import text as tx
-from feedweave.llm.session import cut
+from feedweave.llm.session import cut, release
 from feedweave.operators.components import components
 
 BANDS, ROWS = 32, 6
@@ -141,13 +141,14 @@ def _across(sets: DataFrame, members: DataFrame, threshold: int) -> DataFrame:
     last in this order, so it brings together only what is alike without it.
     """
     t = threshold
-    own = sets.join(members, sets["id"] == members["node"]).select("node", "component", "words").distinct()
-    rows = cut(own.mapInArrow(_listed, "node long, print long, component long, n long, shingle long"))
+    own = cut(sets.join(members, sets["id"] == members["node"]).select("node", "component", "words").distinct())
+    rows = own.mapInArrow(_listed, "node long, print long, component long, n long, shingle long")
     held = rows.groupBy("shingle").agg(F.count("*").alias("held"), F.min("component").alias("low"), F.max("component").alias("high"))
     rows = rows.join(held.where("low <> high").select("shingle", "held"), "shingle")
     by_set = Window.partitionBy("node", "print", "n")
     rows = rows.withColumn("place", F.col("n") - F.count("*").over(by_set) + F.row_number().over(by_set.orderBy("held", "shingle")))
     rows = cut(rows.where(f"place <= n - ({t} * n + 99) div 100 + 1").select("shingle", "component", "node", "n", (F.col("n") - F.col("place")).alias("rest")))
+    release(rows.sparkSession)
     short = rows.where(f"n - rest <= n - ({2 * t} * n + {99 + t}) div {100 + t} + 1")
 
     def named(df: DataFrame, side: str) -> DataFrame:
@@ -219,14 +220,18 @@ def near_duplicates(docs: DataFrame, size: int = 2, threshold: int = 80, key: st
         named = starred.join(labels, "node", "left").withColumn("component", F.coalesce("component", "node"))
         named = named.join(labels.select(F.col("node").alias("hub"), F.col("component").alias("hub_component")), "hub", "left")
         open_rows = cut(named.where("component <> coalesce(hub_component, hub) and node <> hub").select("bucket", "node", "n", "met"))
+        release(docs.sparkSession)
     known = first.withColumn("component", F.col("node")) if labels is None else first.join(labels, "node", "left").withColumn("component", F.coalesce("component", "node"))
     parted = known.groupBy("bucket").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low <> high")
     members = cut(known.join(parted, "bucket", "left_semi").select("node", "component").distinct())
     if not members.isEmpty():
-        found = confirmed(cut(_across(sets, members, threshold)))
+        pairs = cut(_across(sets, members, threshold))
+        release(docs.sparkSession)
+        found = confirmed(pairs)
         if not found.isEmpty():
             links = found if links is None else links.unionByName(found)
             labels = components(links)
+        release(docs.sparkSession)
     classes = nodes.select("n", "f1", "f2", "node")
     if labels is not None:
         classes = classes.join(labels, "node", "left").select("n", "f1", "f2", F.coalesce("component", "node").alias("component"))

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 
@@ -18,6 +19,13 @@ def small_batches(spark: SparkSession) -> None:
         spark.conf.set(name, "2000")
 
 
+def release(spark: SparkSession) -> None:
+    """Collect the driver's garbage now: Spark deletes the files of shuffles and checkpoints
+    that nothing refers to only when the driver's JVM has collected them."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 def table(spark: SparkSession, sf_dir: str, name: str, *columns: str) -> DataFrame:
     """Read one table and keep `columns` only, so extra columns can't clash."""
     small_batches(spark)

@@ -329,6 +329,29 @@ def test_near_duplicates_in_a_group_that_shares_a_passage(spark):
     assert [got[i] for i in range(len(texts))] == homes
 
 
+def test_near_duplicates_that_meet_only_under_a_hub_of_one_of_them(spark):
+    rng = random.Random(6)
+
+    def bands(words):
+        w = tx.words(*tx.buffers(pa.array([" ".join(words)])))
+        return near_dedup.signature(near_dedup.shingles(w.hashes, 2))
+
+    while True:
+        popular = [f"h{rng.randrange(10**9)}" for _ in range(121)]
+        low = rng.randrange(20)
+        near = popular[low : low + 100]  # 99 of the 120 shingles
+        far = near[low % 17 : low % 17 + 82]  # 81 of those 99
+        one, two, three = bands(popular), bands(near), bands(far)
+        both = two == three
+        if both.any() and (one[both] == two[both]).all():
+            break
+    texts = [" ".join(popular + [f"t{i}"]) for i in range(60)] + [" ".join(near), " ".join(far)]
+    _, homes = brute_components(texts, 2, 80)
+    assert homes == [0] * 62
+    got = {r["doc_id"]: r["component_id"] for r in near_dedup.near_duplicates(docs(spark, texts), 2, 80).collect()}
+    assert [got[i] for i in range(62)] == homes
+
+
 def test_near_duplicates_of_odd_rows(spark):
     frame = spark.createDataFrame([(None, "a b c"), (None, "a b c"), (3, "a b c"), (3, "a b c"), (1, "a b c"), (9, None)], "doc_id long, text string")
     rows = sorted(((r["doc_id"], r["component_id"], r["kept"]) for r in near_dedup.near_duplicates(frame).collect()), key=repr)
