@@ -86,6 +86,20 @@ def slices(offsets: np.ndarray, limit: int = SLICE_BYTES) -> Iterator[tuple[int,
         low = high
 
 
+class Ranges:
+    """Hashes of any ranges of a text, A-Z in lower case; equal bytes have equal hashes."""
+
+    def __init__(self, text: np.ndarray, values: np.ndarray = _VALUE):
+        power, self.inverse = _power(len(text))
+        self.total = np.empty(len(text) + 1, np.uint64)
+        self.total[0] = 0
+        np.cumsum(values[text] * power, out=self.total[1:])
+
+    def hashes(self, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+        """Of the ranges that begin at each start, before the end of the text."""
+        return mix((self.total[ends] - self.total[starts]) * self.inverse[starts] + (ends - starts).astype(np.uint64))
+
+
 @dataclass
 class Words:
     """Words of some rows in order: `bounds[i]:bounds[i + 1]` are those of row i."""
@@ -94,16 +108,19 @@ class Words:
     starts: np.ndarray
     ends: np.ndarray
     hashes: np.ndarray
+    ranges: Ranges
 
 
 def words(data: np.ndarray, offsets: np.ndarray) -> Words:
-    """Words of the rows at `offsets` of `data`; starts and ends are offsets in data."""
+    """Words of the rows at `offsets` of `data`; starts and ends are offsets in data, the
+    ranges are those of the rows' bytes from the first on."""
     base, n = int(offsets[0]), len(offsets) - 1
     text = data[base : int(offsets[-1])]
     local = offsets - base
+    ranges = Ranges(text)
     if not len(text):
         none = np.zeros(0, np.int64)
-        return Words(np.zeros(n + 1, np.int64), none, none, np.zeros(0, np.uint64))
+        return Words(np.zeros(n + 1, np.int64), none, none, np.zeros(0, np.uint64), ranges)
     space = _SPACE[text]
     before = np.empty(len(text), bool)
     before[0], before[1:] = True, space[:-1]
@@ -114,13 +131,8 @@ def words(data: np.ndarray, offsets: np.ndarray) -> Words:
     after[inner - 1] = True
     starts = np.flatnonzero(before & ~space)
     ends = np.flatnonzero(after & ~space) + 1
-    power, inverse = _power(len(text))
-    total = np.empty(len(text) + 1, np.uint64)
-    total[0] = 0
-    np.cumsum(_VALUE[text] * power, out=total[1:])
-    hashes = mix((total[ends] - total[starts]) * inverse[starts] + (ends - starts).astype(np.uint64))
     bounds = np.searchsorted(starts, local)
-    return Words(bounds, starts + base, ends + base, hashes)
+    return Words(bounds, starts + base, ends + base, ranges.hashes(starts, ends), ranges)
 
 
 def word_hashes(texts: list[str]) -> list[np.ndarray]:

@@ -5,11 +5,12 @@ import random
 import re
 import unicodedata
 from collections import Counter
-from itertools import combinations
+from itertools import combinations, permutations
 
 import numpy as np
 import pyarrow as pa
 import pytest
+from pyspark.sql import functions as sf
 
 from feedweave.llm import bpe_count, decontaminate, near_dedup, pseudo_lm, secrets, sp_sample, toxicity
 from feedweave.llm import text as tx
@@ -122,17 +123,37 @@ def test_trigram_queries_never_lose_a_match(pattern):
 # Pieces
 
 
+def ways(p, text):
+    """Number of segmentations of a text into pieces, three at most; bytes without a piece have one."""
+    raw = (" " + text).encode()
+    known = {p.bytes[i] for i in p.ids[:-1]}
+    counts = [1] + [0] * len(raw)
+    for end in range(1, len(raw) + 1):
+        counts[end] = min(3, sum(counts[end - n] for n in range(1, min(end, p.longest) + 1) if n == 1 or raw[end - n : end] in known))
+    return counts[-1]
+
+
 def test_samples_spell_their_texts(spark):
-    texts = ODD + ["the cat sat", "  two  spaces ", "▁ literal", "\x00\x01 control", "same", "same"]
+    texts = [*ODD, "the cat sat", "  two  spaces ", "\u2581 literal", "\x00\x01 control", "same", "same", "if (a) {\r\n        b();\r\n}\r\n", " " * 3000, "word " * 40_000]
     rows = sp_sample.encode(docs(spark, texts), PIECES, k=3).collect()
     back = {(r["doc_id"], r["sample"]): r["text"] for r in sp_sample.decode(spark.createDataFrame(rows), PIECES).collect()}
+    p = sp_sample.pieces(PIECES, 1.0)
     for r in rows:
         assert r["round_trip"] and back[r["doc_id"], r["sample"]] == (texts[r["doc_id"]] or "")
     for i in range(len(texts)):
         mine = sorted((r for r in rows if r["doc_id"] == i), key=lambda r: r["sample"])
         assert [r["sample"] for r in mine] == list(range(1, len(mine) + 1)) and len({tuple(r["ids"]) for r in mine}) == len(mine)
         assert all(a["perturbed"] >= b["perturbed"] for a, b in zip(mine, mine[1:], strict=False))
-        assert len(mine) == (1 if not (texts[i] or "").strip() else 3)  # white space has one way only
+        assert len(mine) == (ways(p, texts[i]) if texts[i] else 1)
+    assert {r["doc_id"] for r in rows if r["sample"] == 1} == set(range(len(texts)))
+
+
+def test_samples_of_null_keys_and_clashing_columns(spark):
+    frame = spark.createDataFrame([(None, "a cat", 1, 2), (None, None, 3, 4), (5, "", 5, 6)], "doc_id long, text string, sample int, _seed int")
+    rows = sp_sample.encode(frame, PIECES, k=1).collect()
+    assert sorted((r["doc_id"], len(r["ids"]) > 0) for r in rows if r["doc_id"]) == [(5, False)] and len(rows) == 3
+    again = sp_sample.decode(spark.createDataFrame(rows).withColumn("text", sf.lit("old")), PIECES)
+    assert sorted(r["text"] for r in again.collect()) == ["", "", "a cat"]
 
 
 def test_samples_do_not_depend_on_batches():
@@ -140,16 +161,17 @@ def test_samples_do_not_depend_on_batches():
     rng = random.Random(4)
     texts, seeds = [prose(rng, 30) for _ in range(9)], np.arange(9).astype(np.uint64)
 
-    def ids(some):
+    def ids(some, known):
         data, offsets = tx.buffers(pa.array([texts[i] for i in some], pa.large_string()))
         out = {}
-        for s, (have, found, bounds, *_) in enumerate(sp_sample.samples(p, data, offsets, seeds[some], 2)):
+        for s, (have, found, bounds, *_) in enumerate(sp_sample.samples(known, data, offsets, seeds[some], 2)):
             for i, a, b in zip(have, bounds[:-1], bounds[1:], strict=True):
                 out[some[i], s] = found[a:b].tolist()
         return out
 
-    whole = ids(list(range(9)))
-    assert whole == {k: v for i in range(9) for k, v in ids([i]).items()}
+    kept = sp_sample.Words(p)
+    whole = ids(list(range(9)), sp_sample.Words(p))
+    assert whole == {k: v for i in range(9) for k, v in ids([i], sp_sample.Words(p)).items()} == {k: v for i in range(9) for k, v in ids([i], kept).items()}
 
 
 def segmentations(p, text):
@@ -162,29 +184,37 @@ def segmentations(p, text):
             yield (), 0.0
         for end in range(at + 1, len(raw) + 1):
             piece = raw[at:end]
-            if b" " not in piece[1:] and piece in known:
+            if piece in known or len(piece) == 1:
                 for rest, w in walk(end):
-                    yield (piece, *rest), w + known[piece]
+                    yield (piece, *rest), w + known.get(piece, sp_sample.BYTE_WEIGHT)
 
     found = list(walk(0))
     weights = np.exp([w for _, w in found])
     return dict(zip([s for s, _ in found], weights / weights.sum(), strict=True))
 
 
-def test_samples_are_drawn_without_replacement_by_probability():
+@pytest.mark.parametrize("text", ["cat", "a  b", "x;\r", "   if", "\tof"])
+def test_samples_are_drawn_without_replacement_by_probability(text):
     p = sp_sample.Pieces(PIECES, 0.25)  # a flat distribution, so that all are drawn often
-    chance = segmentations(p, "cat")
-    n = 20_000
-    data, offsets = tx.buffers(pa.array(["cat"] * n, pa.large_string()))
-    drawn = []
-    for _, ids, bounds, *_ in sp_sample.samples(p, data, offsets, np.arange(n).astype(np.uint64) * 77, 2):
-        drawn.append([tuple(p.bytes[i] for i in ids[a:b]) for a, b in zip(bounds[:-1], bounds[1:], strict=True)])
-    first, both = Counter(drawn[0]), Counter(zip(*drawn, strict=True))
-    for s, q in chance.items():
-        assert abs(first[s] / n - q) < 5 * math.sqrt(q / n) + 1e-3
-    for (a, b), count in both.items():
-        q = chance[a] * chance[b] / (1 - chance[a])
-        assert a != b and abs(count / n - q) < 5 * math.sqrt(q / n) + 1e-3
+    chance = segmentations(p, text)
+    n, k = 20_000, 3
+    data, offsets = tx.buffers(pa.array([text] * n, pa.large_string()))
+    drawn, weighed = [[None] * k for _ in range(n)], Counter()
+    for s, (have, ids, bounds, logp, _, included, _) in enumerate(sp_sample.samples(sp_sample.Words(p), data, offsets, np.arange(n).astype(np.uint64) * 77, k)):
+        for i, a, b, lp, li in zip(have, bounds[:-1], bounds[1:], logp, included, strict=True):
+            drawn[i][s] = path = tuple(p.bytes[x] for x in ids[a:b])
+            assert math.exp(lp) == pytest.approx(chance[path], rel=1e-6)
+            weighed[path] += math.exp(lp - li) / n
+    for size in range(1, k + 1):
+        seen = Counter(tuple(row[:size]) for row in drawn)
+        for order in permutations(chance, min(size, len(chance))):
+            q, left = 1.0, 1.0
+            for one in order:
+                q, left = q * chance[one] / left, left - chance[one]
+            got = seen[order + (None,) * (size - len(order))]
+            assert abs(got / n - q) < 5 * math.sqrt(q / n) + 1e-3
+    for path, q in chance.items():  # a sample weighs its probability over that of its inclusion
+        assert abs(weighed[path] - q) < 0.02
 
 
 # Language model
