@@ -294,6 +294,69 @@ def test_held_out_labels_do_not_matter(spark):
     assert np.array_equal(a.weights, b.weights) and a.bias == b.bias
 
 
+def brute_label_model(fired, rounds):
+    """Posteriors by expectation maximisation in plain loops."""
+    n, m = len(fired), len(fired[0])
+    p = [sum(r) / (sum(r) + 1) for r in fired]
+    for _ in range(rounds):
+        prior = min(max(sum(p) / n, 1e-3), 1 - 1e-3)
+        rates, c = [], [[0.0] * m for _ in range(m)]
+        for share, q in ((prior, p), (1 - prior, [1 - x for x in p])):
+            rate = [min(max((sum(q[i] * fired[i][j] for i in range(n)) + 0.1) / (sum(q) + 1), 1e-5), 1 - 1e-5) for j in range(m)]
+            for j in range(m):
+                for k in range(m):
+                    both = sum(q[i] * fired[i][j] * fired[i][k] for i in range(n)) / max(sum(q), 1e-9)
+                    c[j][k] += share * (both - rate[j] * rate[k]) / math.sqrt(rate[j] * (1 - rate[j]) * rate[k] * (1 - rate[k]))
+            rates.append(rate)
+        weight = [1 / sum(1 if all(r[j] == r[k] for r in fired) else min(max(c[j][k], -1), 1) ** 2 for k in range(m)) for j in range(m)]
+        p = []
+        for i in range(n):
+            x = math.log(prior / (1 - prior)) + sum(fired[i][j] * weight[j] * math.log(rates[0][j] / rates[1][j]) for j in range(m))
+            p.append(1 / (1 + math.exp(-x)) if sum(fired[i]) else 0.0)
+    return p
+
+
+def test_the_label_model_is_that_of_plain_loops():
+    rng = random.Random(12)
+    truth = [rng.random() < 0.3 for _ in range(60)]
+    rates = [(0.7, 0.05), (0.5, 0.1), (0.6, 0.02), (0.2, 0.2)]
+    fired = [[int(rng.random() < (on if y else off)) for on, off in rates] for y in truth]
+    fired = [[*r, r[0], r[0] ^ (rng.random() < 0.1)] for r in fired]  # a copy of the first voter and one much like it
+    model = toxicity.label_model(np.array(fired), 6)
+    got = 1 / (1 + np.exp(-model.logit(np.array(fired))))
+    silent = np.array(fired).sum(1) == 0
+    assert np.allclose(np.where(silent, 0, got), brute_label_model(fired, 6), atol=1e-4)
+    assert model.weight[0] == pytest.approx(model.weight[4], abs=1e-6) and model.weight[0] < 0.6 < model.weight[2]
+    assert model.accuracy[3] < model.accuracy[1] < model.accuracy[2]
+
+
+def found(text):
+    return set(toxicity.features(*tx.buffers(pa.array([text, ""])))[1].tolist())
+
+
+def test_features_are_whole_words_beginnings_and_pairs():
+    long, other = "unbelievablylongwordinga", "unbelievablylongwordingb"
+    assert len(found(long) - found(other)) == 1 and len(found(long) & found(other)) == len(toxicity.BEGINNINGS)
+    assert found("Непредсказуемость!") == found("Непредсказуемость") and len(found("Непредсказуемость") & found("Непредсказуемостями")) == len(toxicity.BEGINNINGS)
+    assert found("abc") == found("ABC,") and len(found("abc")) == 1  # no beginning is the whole word
+    assert len(found("one two") - found("two one")) == 1
+    assert not found("") and found("ab") and len(found("中文字符很长的词")) == 1 + len(toxicity.BEGINNINGS)
+    marks = lambda t: {toxicity.PATTERNS[x - 1] for x in found(t) if x <= len(toxicity.PATTERNS)}
+    assert marks("WHAT ARE THESE PEOPLE THINKING OF NOW") == {"shouting", "shouted words"}
+    assert marks("no!!! f*ck l8ter soooo $$$ really?!") == {"exclaiming", "masked letters", "digits in words", "drawn-out letters", "rows of symbols", "mixed marks"}
+    assert marks("you there") == {"address"} and not marks("a plain text of some words, 25 of them.")
+
+
+def test_removal_keeps_everything_else(spark):
+    model = toxicity.Model(np.sort(np.concatenate(tx.word_hashes(["idiot moron"])) & ~np.uint64(1)), np.full(2, 9.0), -3.0)
+    rows = [(1, "you idiot", 2.0), (None, None, None), (2, "", 1.0), (3, "fine " * 50_000, 1.0), (3, "a moron", 1.0), (1, "you idiot", 2.0)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, score double")
+    kept = toxicity.remove_toxic(df, model)
+    assert kept.columns == df.columns and sorted((r["doc_id"] or 0, len(r["text"] or "")) for r in kept.collect()) == [(0, 0), (2, 0), (3, 250_000)]
+    assert toxicity.remove_toxic(df.limit(0), model).count() == 0
+    assert sorted(r["predicted"] for r in toxicity.score(df, model).collect()) == [0, 0, 0, 1, 1, 1]
+
+
 # Near duplicates
 
 
