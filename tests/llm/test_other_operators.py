@@ -58,14 +58,76 @@ def test_nearest_of_odd_rows(spark):
     assert ann.nearest(df.limit(0), df.limit(0)).count() == 0
 
 
+def test_vectors_of_different_lengths_are_refused(spark):
+    df = frame(spark, [(0, [1.0, 0.0]), (1, [1.0, 0.0, 0.5, 0.1])])
+    with pytest.raises(ValueError, match="from 2 to 4 components"):
+        ann.nearest(df, df)
+
+
+def test_norms_may_differ(spark):
+    rng = np.random.default_rng(5)
+    made = rng.normal(size=(1500, 12)) * np.exp(rng.normal(size=(1500, 1)) * 1.5) * 1e6
+    vectors = {i: v.tolist() for i, v in enumerate(made.astype(np.float32))}
+    df = frame(spark, vectors.items())
+    want = brute_nearest(vectors, [i for i in vectors if i % 20 == 0], 20)
+    found = sum(r["vec_id"] in {a for a, _ in want[r["query_id"]]} for r in ann.nearest(df, df.where("vec_id % 20 = 0")).collect())
+    assert found >= 0.9 * 20 * len(want)
+
+
 def test_best_bins_come_first():
     rng = np.random.default_rng(2)
     x = rng.normal(size=(2000, 8))
     tree = ann.fit_tree(x)
     leaves = tree.assign(x)
-    assert set(leaves) <= set(range(tree.leaves)) and len(tree.order(tree.centroids @ x[0], tree.leaves)) == tree.leaves
-    at = [tree.order(tree.centroids @ q, tree.leaves).index(leaf) for q, leaf in zip(x[:200], leaves[:200], strict=True)]
+    tree = tree.measured(*ann._leaf_sums(leaves, x, tree.leaves))
+    finder = tree.searcher()
+    promise = finder.promises(x[:200])
+    assert set(leaves) <= set(range(tree.leaves)) and sorted(finder.order(promise[0], tree.leaves)) == sorted(set(leaves.tolist()))
+    at = [finder.order(p, tree.leaves).index(leaf) for p, leaf in zip(promise, leaves, strict=False)]
     assert np.mean(at) < 0.15 * tree.leaves
+    held = np.isfinite(tree.spread)
+    for p in promise[:20]:  # a search that looks through all open nodes at every step
+        open_, want = [0], []
+        while open_:
+            node = min(open_, key=lambda n: (-p[n], n))
+            open_.remove(node)
+            if tree.leaf[node] >= 0:
+                want.append(int(tree.leaf[node]))
+            open_ += [c for c in range(tree.first[node], tree.first[node] + tree.children[node]) if held[c]]
+        assert finder.order(p, tree.leaves) == want
+
+
+def test_blocks_hold_their_leaves(monkeypatch):
+    monkeypatch.setattr(ann, "BLOCK", 10)
+    first, parts = ann._blocks(np.array([3, 4, 0, 5, 25, 2, 9, 10]))
+    assert first.tolist() == [0, 0, 0, 1, 2, 5, 6, 7] and parts.tolist() == [1, 1, 1, 1, 3, 1, 1, 1]
+
+
+def test_cut_leaves_give_the_same_neighbours(spark, monkeypatch):
+    rng = np.random.default_rng(7)
+    df = frame(spark, [(i, rng.normal(size=6).tolist()) for i in range(600)])
+    want = sorted(map(tuple, ann.nearest(df, df.where("vec_id % 20 = 0")).collect()))
+    monkeypatch.setattr(ann, "BLOCK", 3)
+    assert sorted(map(tuple, ann.nearest(df, df.where("vec_id % 20 = 0")).collect())) == want
+
+
+def test_nearest_of_the_table_scan_a_part_of_it(spark):
+    """Recall against brute force and the share of the vectors scanned, on a whole table."""
+    df = spark.read.parquet("/root/testdata/sf0.1/embeddings.parquet")
+    rows = df.select("vec_id", "embedding").collect()
+    x, ids = np.array([r["embedding"] for r in rows], np.float64), np.array([r["vec_id"] for r in rows])
+    got = {}
+    scanned = {}
+    for r in ann.nearest(df, df.where("vec_id % 20 = 0")).collect():
+        got.setdefault(r["query_id"], set()).add(r["vec_id"])
+        scanned[r["query_id"]] = r["scanned"]
+    hits = []
+    for q in np.flatnonzero(ids % 20 == 0):
+        s = x @ x[q]
+        s[q] = -np.inf
+        hits.append(len(got[ids[q]] & set(ids[np.argsort(-s)[:20]].tolist())) / 20)
+    print("recall", np.mean(hits), "scanned", np.mean(list(scanned.values())) / len(x))
+    assert np.mean(hits) >= 0.9 and np.mean(list(scanned.values())) < 0.2 * len(x)
 
 
 # Chats
