@@ -220,24 +220,107 @@ def test_samples_are_drawn_without_replacement_by_probability(text):
 # Language model
 
 
-def test_pseudo_likelihood_is_that_of_the_model(spark):
+def brute_log_probability(net, near, branch, place):
+    """Of one word, node by node from the root."""
+
+    def share(logits, at):
+        return float(logits[at]) - math.log(sum(math.exp(x) for x in logits))
+
+    hidden = [math.tanh(sum(float(net.tables[k][near[k]][d]) for k in range(4))) for d in range(net.root.shape[0])]
+    dot = lambda w: sum(a * float(b) for a, b in zip(hidden, w, strict=True))
+    out = share([dot(net.root[:, c]) + float(net.root_bias[c]) for c in range(net.root.shape[1])], branch)
+    if place < pseudo_lm.VOCABULARY:
+        for level, below in enumerate((pseudo_lm.BRANCHES, 1)):
+            first = place // (below * pseudo_lm.BRANCHES) * pseudo_lm.BRANCHES
+            out += share([dot(net.levels[level][first + c]) + float(net.biases[level][first + c]) for c in range(pseudo_lm.BRANCHES)], place // below - first)
+    return out
+
+
+def test_pseudo_likelihood_is_that_of_the_model(spark, monkeypatch):
+    monkeypatch.setattr(pseudo_lm, "KNOWN", 40)  # so that some words meet their counts in the join
     rng = random.Random(5)
-    texts = ODD + [prose(rng, 60, 30) for _ in range(60)]
+    texts = ODD + [prose(rng, 60, 400) for _ in range(40)] + ["only here", "twice here here", "long" * 5 + " " + "long" * 5]
     frame = docs(spark, texts)
     model = pseudo_lm.fit(frame)
-    assert np.allclose(np.exp(model.table[::997]).sum(1), 1, atol=1e-4)
     got = {r["doc_id"]: r for r in pseudo_lm.score(frame, model).collect()}
-    kinds = {h: (k, s) for h, k, s in zip(model.words.hashes.tolist(), model.words.classes.tolist(), model.words.shares.tolist(), strict=True)}
-    groups = pseudo_lm.coarse(np.arange(pseudo_lm.CLASSES))
-    for i in range(len(texts)):
-        hashes = tx.word_hashes([texts[i] or ""])[0].tolist()
-        ks = [0, 0, *(kinds[h][0] for h in hashes), 0, 0]
-        want = 0.0
-        for j, h in enumerate(hashes, 2):
-            context = ((groups[ks[j - 2]] * pseudo_lm.CLASSES + ks[j - 1]) * pseudo_lm.CLASSES + ks[j + 1]) * pseudo_lm.COARSE + groups[ks[j + 2]]
-            want += float(model.table[context, ks[j]]) + kinds[h][1]
-        assert got[i]["n_words"] == len(hashes) and got[i]["log_likelihood"] == pytest.approx(want, abs=1e-3)
-        assert (got[i]["per_word"] is None) == (not hashes)
+    words = [[re.sub("[A-Z]", lambda m: m[0].lower(), x) for x in re.findall(r"[^\x20\x09-\x0D]+", t or "")] for t in texts]
+    counts = Counter(x for ws in words for x in ws)
+    places = {h: p for h, p in zip(model.words.hashes.tolist(), model.words.places.tolist(), strict=True)}
+    hashes = {x: int(tx.word_hashes([x])[0][0]) for x in counts}
+    assert {x for x in counts if hashes[x] in places} == {x for x in counts if counts[x] >= 5}
+    tail = lambda x: sum(len(x.encode()) >= n for n in pseudo_lm.LENGTHS)
+    types = Counter(tail(x) for x in counts if counts[x] < 5)
+    mass = Counter()
+    for x, n in counts.items():
+        mass[tail(x)] += n if n < 5 else 0
+
+    def placed(x):
+        raw = x.encode()
+        return places.get(hashes[x], pseudo_lm.VOCABULARY + (raw[-1] * 263 + (raw[-2] if len(raw) > 1 else 0)) % pseudo_lm.ENDINGS)
+
+    for i, ws in enumerate(words):
+        row = [pseudo_lm.EDGE] * 2 + [placed(x) for x in ws] + [pseudo_lm.EDGE] * 2
+        own, want = Counter(ws), 0.0
+        for j, x in enumerate(ws):
+            p = placed(x)
+            want += brute_log_probability(model.network, [row[j], row[j + 1], row[j + 3], row[j + 4]], p // pseudo_lm.BRANCHES**2 if p < pseudo_lm.VOCABULARY else pseudo_lm.BRANCHES + tail(x), p)
+            if counts[x] < 5:
+                want += math.log((counts[x] - own[x] + pseudo_lm.SMOOTHING) / (mass[tail(x)] + pseudo_lm.SMOOTHING * types[tail(x)]))
+        assert got[i]["n_words"] == len(ws) and got[i]["log_likelihood"] == pytest.approx(want, abs=2e-3, rel=1e-5)
+        assert (got[i]["per_word"] is None) == (not ws)
+        assert got[i]["n_alone"] == sum(counts[x] < 5 and counts[x] == own[x] for x in ws)
+
+
+def small_network(rng):
+    n = pseudo_lm.VOCABULARY
+    words = pseudo_lm.Vocabulary(np.zeros(0, np.uint64), np.zeros(0, int), rng.integers(5, 90, 700).astype(float), np.zeros(0, np.uint64), np.zeros(0), np.array([9.0, 5, 3]), np.ones(3))
+    near = rng.integers(0, 40, (30, 4)).astype(np.int32)
+    place = np.append(rng.integers(0, 700, 25), n + rng.integers(0, 9, 5)).astype(np.int32)
+    branch = np.where(place < n, place // pseudo_lm.BRANCHES**2, pseudo_lm.BRANCHES + place % 3).astype(np.int32)
+    net = pseudo_lm.train(words, near, branch, place, width=5, epochs=3, batch=10)
+    for name in ("tables", "root", "root_bias"):
+        setattr(net, name, getattr(net, name).astype(np.float64))
+    net.levels, net.biases = [x.astype(np.float64) for x in net.levels], [x.astype(np.float64) for x in net.biases]
+    return net, near, branch, place
+
+
+def test_gradients_are_those_of_differences():
+    net, near, branch, place = small_network(np.random.default_rng(3))
+    loss, back, by_root, by_bias, below = net.gradients(near, branch, place)
+    assert loss == pytest.approx(-net.log_probabilities(near, branch, place).mean(), abs=1e-4)
+    slopes = []
+    for part, at, given in (
+        (net.root, (2, 7), by_root[2, 7]),
+        (net.root_bias, (27,), by_bias[27]),
+        (net.tables, (1, near[4, 1], 3), back[near[:, 1] == near[4, 1], 3].sum()),
+        *((net.levels[lv], (low + 3, 1), g[3, 1]) for lv, low, _, g, _ in below),
+        *((net.biases[lv], (low + 5,), b[5]) for lv, low, _, _, b in below),
+    ):
+        old, ends = part[at], []
+        for move in (1e-5, -1e-5):
+            part[at] = old + move
+            ends.append(net.gradients(near, branch, place)[0])
+        part[at] = old
+        slopes.append(((ends[0] - ends[1]) / 2e-5, given))
+    assert len(slopes) > 20 and np.allclose(*zip(*slopes, strict=True), atol=1e-6)
+
+
+def test_probabilities_of_all_words_sum_to_one():
+    net, near, _, _ = small_network(np.random.default_rng(4))
+    every = np.arange(pseudo_lm.VOCABULARY + pseudo_lm.TAILS)
+    branch = np.where(every < pseudo_lm.VOCABULARY, every // pseudo_lm.BRANCHES**2, every - pseudo_lm.VOCABULARY + pseudo_lm.BRANCHES)
+    logp = net.log_probabilities(np.repeat(near[:1], len(every), 0), branch, np.minimum(every, pseudo_lm.VOCABULARY))
+    assert np.exp(logp.astype(np.float64)).sum() == pytest.approx(1, abs=1e-4)
+
+
+def test_neighbours_raise_the_likelihood_of_unseen_documents(spark):
+    """By half a nat a word at least over the words' shares alone, on documents that the network wasn't trained on."""
+    table = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    words = pseudo_lm.vocabulary(pseudo_lm.word_counts(table).cache())
+    mine, other = (pseudo_lm.sampled_windows(table.where(w), words, 0.4) for w in ("crc32(text) % 5 > 0", "crc32(text) % 5 = 0"))
+    gain = pseudo_lm.train(words, *mine).log_probabilities(*other).mean() - pseudo_lm.train(words, *(x[:0] for x in mine)).log_probabilities(*other).mean()
+    print("gain", gain, len(mine[0]), len(other[0]))
+    assert gain > 0.5
 
 
 def test_both_sides_help(spark):
@@ -249,6 +332,18 @@ def test_both_sides_help(spark):
     assert score(ordered) > score(mixed) + 1
 
 
+def test_documents_that_occur_twice_have_no_word_alone(spark):
+    rng = random.Random(7)
+    texts = [prose(rng, 50, 10**6) for _ in range(30)]
+    texts += texts[:10]
+    frame = docs(spark, texts).union(spark.createDataFrame([(None, texts[0], "x"), (0, None, "x")], DOCS))
+    rows = pseudo_lm.score(frame, pseudo_lm.fit(frame)).collect()
+    assert len(rows) == 42
+    for r in rows:
+        twice = r["doc_id"] is None or r["doc_id"] < 10 or r["doc_id"] >= 30
+        assert (r["n_alone"] < 5) == (twice or r["n_words"] == 0) and (r["per_word"] is None or (r["per_word"] > -8.7) == twice)
+
+
 def test_no_documents(spark):
     empty = docs(spark, [])
     assert pseudo_lm.score(empty, pseudo_lm.fit(empty)).count() == 0
