@@ -36,23 +36,33 @@ def shared_folder(spark: SparkSession) -> str:
     return tempfile.mkdtemp(prefix="feedweave-")
 
 
+def spread_join(many: DataFrame, one: DataFrame, key: str, by: str) -> DataFrame:
+    """`many` with the columns of `one`, which has a row a key at most, by a left join in
+    which no key is hot: rows of a key are dealt by the hash of their column `by` over as
+    many places as a shuffle has partitions, and `one` goes to the places that occur."""
+    places = int(many.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    many = many.withColumn("_place", F.pmod(F.xxhash64(by), F.lit(places)).cast("int"))
+    return many.join(many.select(key, "_place").distinct().join(one, key), [key, "_place"], "left").drop("_place")
+
+
 def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     """(node, component): the smallest node that each node of `edges` reaches.
 
-    Nodes are of any type that can be ordered; edges with a null end are left out.
-    Nothing is collected but one hash a round.  A round takes the smallest label among
-    a node's neighbours and then the label of that label, so the number of rounds
-    grows with the logarithm of a component's diameter at best; stars take three.
+    Nodes are of any type that can be ordered; edges with a null end are left out, and no
+    edges give no rows.  Nothing is collected but one hash a round.  A round takes the
+    smallest label among a node's neighbours and then the label of that label, so the
+    number of rounds grows with the logarithm of a component's diameter at best; stars take
+    three.  Neither the neighbours of one node nor the nodes of one label meet in one task.
     """
     both = edges.where(f"{a} is not null and {b} is not null").select(F.col(a).alias("node"), F.col(b).alias("other"))
     both = cut(both.unionByName(both.select(F.col("other").alias("node"), F.col("node").alias("other"))).distinct())
     labels = cut(both.groupBy("node").agg(F.least("node", F.min("other")).alias("component")))
     seen = None
     while True:
-        near = both.join(labels.withColumnRenamed("node", "other"), "other").groupBy("node").agg(F.min("component").alias("near"))
-        step = labels.join(near, "node").select("node", F.least("component", "near").alias("component"))
+        near = spread_join(both, labels.withColumnRenamed("node", "other"), "other", "node").groupBy("node").agg(F.min("component").alias("near"))
+        step = cut(labels.join(near, "node").select("node", F.least("component", "near").alias("component")))
         jump = step.select(F.col("node").alias("component"), F.col("component").alias("further"))
-        labels = cut(step.join(jump, "component", "left").select("node", F.coalesce("further", "component").alias("component")))
+        labels = cut(spread_join(step, jump, "component", "node").select("node", F.coalesce("further", "component").alias("component")))
         now = labels.agg(F.bit_xor(F.xxhash64("node", "component")).alias("h")).first()["h"]
         if now == seen:
             return labels
