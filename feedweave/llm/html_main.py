@@ -1,20 +1,24 @@
 """Main text of web pages by consensus host paths.
 
-Each page is parsed into blocks of text with the generalised path (tags and classes,
-digits and identifiers left out) of the containers around them.  Containers are scored
-on the page; Spark adds up the votes for each path of a host, and every page is then
-extracted again from the container of its host's winning path.  A page without that
-path uses its own best container.
-
-Votes are summed before they are shuffled and a host has one winner, so the pages are
-joined with one row a host.  Up to BROADCAST_HOSTS hosts, by count, go to every task and
-the pages stay where they are; beyond that the pages of a host are dealt over SALTS keys.
+Each page is parsed once into blocks of text and a tree of the containers around them,
+each with the hash of its generalised path: the tags and classes from the root on,
+numbers and identifiers left out.  Containers are scored on the page; Spark adds up the
+votes for each path of a host, and every page's text is then taken from the containers
+of its host's winning path.  A page without that path uses its own best container.
+
+What was parsed, without markup and without what is dropped, is kept and read twice: for
+the votes, which are summed before they are shuffled, and to meet the host's winner, which
+goes to each of the places over which the host's pages are dealt.  The plan is the same
+for any number of hosts and no host is a hot key.  Parsing takes time and memory in
+proportion to the page, however deep its elements are nested.
 """
 
 from __future__ import annotations
 
 import re
 from collections.abc import Iterator
+from functools import lru_cache
+from hashlib import blake2b
 from html.parser import HTMLParser
 
 import pyarrow as pa
@@ -22,10 +26,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from feedweave.llm import text as tx
 from feedweave.llm.session import cut
+from feedweave.operators.components import spread_join
 
-#: Hosts whose paths, some hundred bytes each, are broadcast; keys of a host beyond that.
-BROADCAST_HOSTS, SALTS = 100_000, 32
 _VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 _BLOCK = frozenset(
     "address article aside blockquote body center dd details dialog dir div dl dt fieldset figcaption figure footer form frameset h1 h2 h3 h4 h5 h6 "
@@ -35,48 +39,95 @@ _BLOCK = frozenset(
 _CLOSES_P = _BLOCK - {"html", "body", "title", "td", "th", "tr", "tbody", "thead", "tfoot", "optgroup", "option"}
 #: Elements that hold no main text wherever they stand.
 _DROPPED = frozenset("script style nav footer header aside form noscript template button select textarea svg math iframe object canvas audio video map dialog menu title head search input label option".split())
-#: Words in classes, ids and roles of elements that hold no main text.
+#: Words in classes, ids and roles of elements that hold no main text: wherever they stand, and outside an article only.
 _MARKS = re.compile(
-    r"(?:^|[\s_-])(?:ads?|advert\w*|adsense|banner|sponsor\w*|promo\w*|breadcrumbs?|comments?|disqus|replies|respond|cookies?|consent|notices?|notifications?|alerts?|popup|modal|overlay|newsletter|subscri\w*|signup|login|"
-    r"menu|menubar|nav|navbar|navigation|topbar|toolbar|masthead|site-?header|page-?header|site-?footer|page-?footer|footer|foot|sidebar|side|rail|widgets?|related|recommend\w*|share|sharing|social|toc|pagination|pager|search|complementary|contentinfo|tags)(?:$|[\s_-])",
+    r"(?:ads?|advert\w*|adsense|sponsor\w*|promo|promotion|breadcrumbs?|comments?|disqus|replies|respond|cookies?|consent|notices?|popup|modal|newsletter|subscri\w*|signup|menu|menubar|navbar|navigation|sidebar|"
+    r"site-?header|page-?header|site-?footer|page-?footer|related|recommend\w*|sharing|social|pagination|complementary|contentinfo)",
     re.I,
 )
+_OUTSIDE = re.compile(r"(?:banner|notifications?|alerts?|overlay|login|nav|topbar|toolbar|masthead|footer|foot|side|rail|widgets?|share|toc|pager|search|tags)", re.I)
+#: Parts of names that say something else of the page, such as with-sidebar.
+_OTHERWISE = re.compile(r"(?:has|with|no|without|is|not)[-_]\w+", re.I)
 #: Elements that a page's main text often is.
 _LIKELY = re.compile(r"(?:^|[\s_-])(?:article|story|post|entry|content|main|body|text)(?:$|[\s_-])", re.I)
+#: The share of a page's letters that a marked element may hold before it is taken for the page itself.
+MOST = 0.5
+_FAMILIES = {"li": ("li",), "dd": ("dd", "dt"), "dt": ("dd", "dt")}
+
+
+@lru_cache(maxsize=100_000)
+def _shape(tag: str, classes: str) -> int:
+    names = sorted({re.sub(r"\d+", "#", c.lower()) for c in classes.split()})
+    return int.from_bytes(blake2b(".".join([tag, *names]).encode("utf-8", "surrogatepass"), digest_size=8).digest(), "big")
+
+
+def _under(path: int, shape: int) -> int:
+    """Hash of the path of an element of a shape below a path, as a 64-bit integer with sign."""
+    h = ((path & (1 << 64) - 1) * 0x9E3779B97F4A7C15 + shape) & (1 << 64) - 1
+    h = ((h ^ h >> 29) * 0xBF58476D1CE4E5B9) & (1 << 64) - 1
+    return (h ^ h >> 32) - (1 << 63)
+
+
+def path_of(*shapes: str) -> int:
+    """The path of nested containers, each a tag with its classes after points."""
+    path = 0
+    for s in shapes:
+        tag, _, classes = s.partition(".")
+        path = _under(path, _shape(tag, classes.replace(".", " ")))
+    return path
+
+
+@lru_cache(maxsize=100_000)
+def _marked(names: str) -> tuple[bool, bool]:
+    """Whether classes, ids and roles mark an element anywhere, and outside an article."""
+    parts = [p for name in names.split() if not _OTHERWISE.fullmatch(name) for p in (name, *re.split("[_-]+", name))]
+    always = any(_MARKS.fullmatch(p) for p in parts)
+    return always, always or any(_OUTSIDE.fullmatch(p) for p in parts)
 
 
 class _Element:
-    __slots__ = ("tag", "path", "dropped", "weight", "serial")
+    __slots__ = ("tag", "container", "dropped", "mark", "article")
 
-    def __init__(self, tag, path, dropped, weight, serial):
-        self.tag, self.path, self.dropped, self.weight, self.serial = tag, path, dropped, weight, serial
+    def __init__(self, tag, container, dropped, mark, article):
+        self.tag, self.container, self.dropped, self.mark, self.article = tag, container, dropped, mark, article
 
 
 class Page(HTMLParser):
-    """Blocks of a page in order: (text, letters in links, containers around it)."""
+    """Blocks of a page in order, each with its text, its letters in links, the innermost
+    container and the innermost marked element around it (-1: none); and the containers,
+    each with its parent (-1: none), path and weight."""
 
     def __init__(self, html: str):
         super().__init__(convert_charrefs=True)
-        self.blocks: list[tuple[str, int, tuple[int, ...]]] = []
-        self.paths: dict[int, tuple[str, float]] = {}
-        self.stack: list[_Element] = [_Element("", "", False, 0.0, -1)]
+        self.blocks: list[tuple[str, int, int, int]] = []
+        self.parents: list[int] = []
+        self.paths: list[int] = []
+        self.weights: list[float] = []
+        self.marks: list[int] = []  # marked elements, each with the one around it (-1: none)
+        self.holds: set[int] = set()  # those with an article in them
+        self.articles = 0
+        self.stack: list[_Element] = [_Element("", -1, False, -1, False)]
+        self.open: dict[str, list[int]] = {}  # places of open elements in the stack, by tag
+        self.open_blocks: list[int] = [0]
         self.pieces: list[str] = []
         self.linked = 0
-        self.links = 0
-        self.serial = 0
         self.feed(html)
         self.close()
         self._flush()
+        self._unmark()
 
     def _flush(self) -> None:
         text = " ".join("".join(self.pieces).split())
         if text:
-            self.blocks.append((text, self.linked, tuple(e.serial for e in self.stack if e.serial >= 0)))
+            top = self.stack[-1]
+            self.blocks.append((text, self.linked, top.container, top.mark))
         self.pieces, self.linked = [], 0
 
     def _pop(self, at: int) -> None:
-        self.links -= sum(e.tag == "a" for e in self.stack[at:])
-        del self.stack[at:]
+        while len(self.stack) > at:
+            self.open[self.stack.pop().tag].pop()
+        while self.open_blocks[-1] >= at:
+            self.open_blocks.pop()
 
     def handle_starttag(self, tag, attrs):
         if tag in _BLOCK:
@@ -85,30 +136,40 @@ class Page(HTMLParser):
             self.pieces.append(" " if tag == "br" else "")
         if tag in _VOID:
             return
-        if tag in _CLOSES_P or tag in ("li", "dd", "dt"):
-            for i in range(len(self.stack) - 1, 0, -1):
-                e = self.stack[i].tag
-                if e == "p" or (e == tag and tag in ("li", "dd", "dt")):
-                    self._pop(i)
-                    break
-                if e in _BLOCK:
-                    break
+        if tag in _CLOSES_P and self.stack[self.open_blocks[-1]].tag == "p":
+            self._pop(self.open_blocks[-1])
+        if tag in _FAMILIES:
+            if self.stack[self.open_blocks[-1]].tag == "p":
+                self._pop(self.open_blocks[-1])
+            if self.stack[self.open_blocks[-1]].tag in _FAMILIES[tag]:
+                self._pop(self.open_blocks[-1])
         up = self.stack[-1]
         values = dict(attrs)
         names = " ".join(filter(None, (values.get("class"), values.get("id"), values.get("role"))))
         hidden = "hidden" in values or values.get("aria-hidden") == "true"
-        dropped = up.dropped or tag in _DROPPED or hidden or (tag not in ("html", "body", "article", "main") and bool(names) and bool(_MARKS.search(names)))
-        weight = 3.0 if tag in ("article", "main") or values.get("role") == "main" else 1.5 if names and _LIKELY.search(names) else 1.0
-        serial = -1
-        path = up.path
+        main = tag in ("article", "main") or values.get("role") == "main"
+        dropped = up.dropped or tag in _DROPPED or hidden
+        mark = up.mark
+        if main and not dropped:
+            self.articles += 1
+            while mark >= 0 and mark not in self.holds:
+                self.holds.add(mark)
+                mark = self.marks[mark]
+            mark = up.mark
+        elif names and tag not in ("html", "body") and _marked(names)[not up.article]:
+            mark = len(self.marks)
+            self.marks.append(up.mark)
+        container = up.container
         if tag in _BLOCK and tag not in ("p", "html") and not re.fullmatch("h[1-6]|li|t[dhr]|d[dt]", tag):
-            serial = self.serial
-            self.serial += 1
-            shape = ".".join([tag, *sorted(re.sub(r"\d+", "#", c.lower()) for c in (values.get("class") or "").split())])
-            path = f"{up.path}/{shape}"
-            self.paths[serial] = path, weight
-        self.links += tag == "a"
-        self.stack.append(_Element(tag, path, dropped, weight, serial))
+            container = len(self.parents)
+            self.parents.append(up.container)
+            self.paths.append(_under(self.paths[up.container] if up.container >= 0 else 0, _shape(tag, values.get("class") or "")))
+            self.weights.append(3.0 if main else 1.5 if names and _LIKELY.search(names) else 1.0)
+        at = len(self.stack)
+        self.open.setdefault(tag, []).append(at)
+        if tag in _BLOCK:
+            self.open_blocks.append(at)
+        self.stack.append(_Element(tag, container, dropped, mark, up.article or main))
 
     def handle_startendtag(self, tag, attrs):
         # a slash on a tag that isn't void means nothing in HTML
@@ -117,78 +178,108 @@ class Page(HTMLParser):
     def handle_endtag(self, tag):
         if tag in _BLOCK or tag == "br":
             self._flush()
-        for i in range(len(self.stack) - 1, 0, -1):
-            if self.stack[i].tag == tag:
-                self._pop(i)
-                return
-            if self.stack[i].tag in _BLOCK and tag not in _BLOCK:
-                return
+        places = self.open.get(tag)
+        # an inline element ends within the block that it began in
+        if places and (tag in _BLOCK or places[-1] > self.open_blocks[-1]):
+            self._pop(places[-1])
 
     def handle_data(self, data):
         if not self.stack[-1].dropped:
             self.pieces.append(data)
-            if self.links:
+            if self.open.get("a"):
                 self.linked += len(data)
 
     def unknown_decl(self, data):
         pass
 
-    def scores(self) -> dict[int, float]:
+    def _unmark(self) -> None:
+        """Leave out the blocks in marked elements.  A mark doesn't count on an element that
+        holds an article nor, on a page without articles, on one that holds most of the
+        letters outside links; a page without articles on which no block is left keeps all."""
+        letters = [0] * len(self.marks)
+        total = 0
+        for text, linked, _, mark in self.blocks:
+            total += max(0, len(text) - linked)
+            if mark >= 0:
+                letters[mark] += max(0, len(text) - linked)
+        for m in range(len(letters) - 1, -1, -1):  # a marked element comes after the one around it
+            if self.marks[m] >= 0:
+                letters[self.marks[m]] += letters[m]
+        gone: list[bool] = []
+        for m, up in enumerate(self.marks):
+            page = m in self.holds or (not self.articles and letters[m] > MOST * total)
+            gone.append(not page or (up >= 0 and gone[up]))
+        kept = [b for b in self.blocks if b[3] < 0 or not gone[b[3]]]
+        self.blocks = kept if kept or self.articles else self.blocks
+
+    def scores(self) -> list[float]:
         """Score of each container: letters outside links of the blocks in it, more for
         likely elements, less the deeper the blocks stand, so that the closest wins."""
-        letters: dict[int, float] = {}
-        for text, linked, around in self.blocks:
-            own = max(0, len(text) - 2 * linked)
-            for depth, serial in enumerate(reversed(around)):
-                letters[serial] = letters.get(serial, 0.0) + own * 0.7**depth
-        return {s: v * self.paths[s][1] for s, v in letters.items()}
-
-    def best(self) -> int | None:
-        """The container of the highest score, the first of equals."""
-        scores = self.scores()
-        return min(scores, key=lambda s: (-scores[s], s)) if scores else None
-
-    def text(self, path: str | None) -> str:
+        held = [0.0] * len(self.parents)
+        for text, linked, container, _ in self.blocks:
+            if container >= 0:
+                held[container] += max(0, len(text) - 2 * linked)
+        for c in range(len(held) - 1, -1, -1):  # a container comes after its parent
+            if self.parents[c] >= 0:
+                held[self.parents[c]] += 0.7 * held[c]
+        return [h * w for h, w in zip(held, self.weights, strict=True)]
+
+    def text(self, path: int | None) -> str:
         """Main text from the containers of a path, or of the best if the page has none."""
-        chosen = {s for s, (p, _) in self.paths.items() if p == path}
-        if path is None or not any(chosen.intersection(around) for _, _, around in self.blocks):
-            best = self.best()
-            chosen = {best} if best is not None else set()
-        inside = [t for t, _, around in self.blocks if chosen.intersection(around)]
-        return "\n".join(inside if chosen else [t for t, _, _ in self.blocks])
+        return _text([b[0] for b in self.blocks], [b[2] for b in self.blocks], self.parents, self.paths, self.scores(), path)
+
 
+def _text(texts: list[str], at: list[int], parents: list[int], paths: list[int], scores: list[float], path: int | None) -> str:
+    def inside(chosen) -> list[str]:
+        held: list[bool] = []
+        for c, parent in enumerate(parents):
+            held.append(chosen(c) or (parent >= 0 and held[parent]))
+        return [t for t, c in zip(texts, at, strict=True) if c >= 0 and held[c]]
 
-def _host(url: str | None) -> str | None:
-    """Host of a URL in lower case, without port; None if there is none."""
-    found = re.match(r"\s*[a-zA-Z][\w+.-]*://(?:[^/?#@]*@)?([^/?#:]+)", url or "")
-    return found[1].lower() if found else None
+    found = inside(lambda c: paths[c] == path) if path is not None else []
+    if not found and scores:
+        best = min(range(len(scores)), key=lambda c: (-scores[c], c))
+        if scores[best] > 0 or at:
+            found = inside(lambda c: c == best)
+    return "\n".join(found or texts)
 
 
-def _votes(pages: DataFrame, url: str, html: str) -> DataFrame:
-    """(host, path, vote): each page gives its containers their shares of its scores."""
+_PARSED = [("texts", T.ArrayType(T.StringType())), ("at", T.ArrayType(T.IntegerType())), ("parents", T.ArrayType(T.IntegerType())), ("paths", T.ArrayType(T.LongType())), ("scores", T.ArrayType(T.DoubleType()))]
+
+
+def parsed(pages: DataFrame, key: str = "page_id", url: str = "url", html: str = "html") -> DataFrame:
+    """(key, url, host, texts, at, parents, paths, scores): blocks and containers of each
+    page, of which `at` are those of the blocks.  A null or empty page has none.  The host
+    is that of the URL in lower case, without port; null if there is none."""
+    schema = T.StructType([T.StructField("key", pages.schema[key].dataType), T.StructField("url", pages.schema[url].dataType), *(T.StructField(n, t) for n, t in _PARSED)])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            total: dict[tuple[str, str], float] = {}
-            for u, h in zip(batch.column(0), batch.column(1), strict=True):
-                host, page = _host(u.as_py()), Page(h.as_py() or "")
-                if host is None:
-                    continue
-                scores = page.scores()
-                most = max(scores.values(), default=0)
-                for serial, score in scores.items():
-                    if score > 0.2 * most > 0:
-                        key = host, page.paths[serial][0]
-                        total[key] = total.get(key, 0.0) + round(score / most, 3)
-            hosts, paths = zip(*total, strict=True) if total else ((), ())
-            yield pa.RecordBatch.from_arrays([pa.array(hosts, pa.string()), pa.array(paths, pa.string()), pa.array(total.values(), pa.float64())], ["host", "path", "vote"])
-
-    return pages.select(url, html).mapInArrow(run, "host string, path string, vote double")
-
-
-def host_paths(pages: DataFrame, url: str = "url", html: str = "html") -> DataFrame:
-    """(host, path): the path with most votes of each host, the smallest of equals."""
-    summed = _votes(pages, url, html).groupBy("host", "path").agg(F.round(F.sum("vote"), 2).alias("vote"))
+            for low in range(0, batch.num_rows, 64):
+                part = batch.slice(low, 64)
+                rows = [Page(h.as_py() or "") for h in part.column(2)]
+                columns = [
+                    pa.array([[b[0] for b in p.blocks] for p in rows], pa.list_(pa.string())),
+                    pa.array([[b[2] for b in p.blocks] for p in rows], pa.list_(pa.int32())),
+                    pa.array([p.parents for p in rows], pa.list_(pa.int32())),
+                    pa.array([p.paths for p in rows], pa.list_(pa.int64())),
+                    pa.array([p.scores() for p in rows], pa.list_(pa.float64())),
+                ]
+                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), *columns], schema.names)
+        tx.release()
+
+    host = F.lower(F.regexp_extract("url", r"^\s*[a-zA-Z][\w+.-]*://(?:[^/?#@]*@)?([^/?#:]+)", 1))
+    return pages.select(key, url, html).mapInArrow(run, schema).withColumn("host", F.when(host != "", host))
+
+
+def host_paths(read: DataFrame) -> DataFrame:
+    """(host, path) from what `parsed` gives: the path with most votes of each host, the
+    smallest of equals.  A page gives each container the share that its score is of the
+    best, if that is more than a fifth; rows without a host have no vote."""
+    one = read.where("host is not null").select("host", F.array_max("scores").alias("most"), F.explode(F.arrays_zip("paths", "scores")).alias("c"))
+    share = F.round(F.col("c.scores") / F.col("most"), 3)
+    votes = one.where("most > 0 and c.scores > 0.2 * most").select("host", F.col("c.paths").alias("path"), (share * 1000).cast("long").alias("vote"))
+    summed = votes.groupBy("host", "path").agg(F.sum("vote").alias("vote"))
     return summed.groupBy("host").agg(F.min(F.struct((-F.col("vote")).alias("order"), "path")).alias("best")).select("host", F.col("best.path").alias("path"))
 
 
@@ -198,21 +289,20 @@ def extract(pages: DataFrame, key: str = "page_id", url: str = "url", html: str
     Blocks of the main container in page order, white space within a block as one space,
     blocks joined by a line feed; nothing is cut.  A null or empty page has text "" and
     n_chars 0.  Rows with null or repeated keys are each extracted; a row whose URL is
-    null or has no host uses its own best container.
+    null or has no host uses its own best container.  An empty table gives no rows.
     """
-    host = F.lower(F.regexp_extract(F.col(url), r"^\s*[a-zA-Z][\w+.-]*://(?:[^/?#@]*@)?([^/?#:]+)", 1))
-    rows = pages.select(F.col(key), F.col(url), F.col(html).alias("_html"), F.when(host != "", host).alias("_host"))
-    paths = cut(host_paths(pages, url, html).select(F.col("host").alias("_host"), F.col("path").alias("_path")))
-    if paths.count() <= BROADCAST_HOSTS:
-        joined = rows.join(F.broadcast(paths), "_host", "left").select(key, url, "_html", "_path")
-    else:
-        salted = rows.withColumn("_salt", F.pmod(F.xxhash64("_html", key), F.lit(SALTS)).cast("int"))
-        joined = salted.join(paths.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)))), ["_host", "_salt"], "left").select(key, url, "_html", "_path")
-    schema = T.StructType([joined.schema[key], joined.schema[url], T.StructField("text", T.StringType())])
+    read = cut(parsed(pages, key, url, html))
+    joined = spread_join(read.withColumn("_row", F.monotonically_increasing_id()), host_paths(read).withColumnRenamed("path", "winner"), "host", "_row")
+    names = [n for n, _ in _PARSED]
+    schema = T.StructType([T.StructField("key", read.schema["key"].dataType), T.StructField("url", read.schema["url"].dataType), T.StructField("text", T.StringType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts = [Page(h.as_py() or "").text(p.as_py()) for h, p in zip(batch.column(2), batch.column(3), strict=True)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(texts, pa.string())], ["key", "url", "text"])
-
-    return joined.mapInArrow(run, schema).withColumn("n_chars", F.length("text").cast("long"))
+            for low in range(0, batch.num_rows, 64):
+                part = batch.slice(low, 64)
+                texts = [_text(*row) for row in zip(*(part.column(i).to_pylist() for i in range(2, 8)), strict=True)]
+                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(texts, pa.string())], schema.names)
+        tx.release()
+
+    out = joined.select("key", "url", *names, "winner").mapInArrow(run, schema)
+    return out.select(F.col("key").alias(key), F.col("url").alias(url), "text", F.length("text").cast("long").alias("n_chars"))
