@@ -163,9 +163,14 @@ def _walk(tree) -> Part:
 def trigram_query(pattern: str, flags: int = 0):
     """The trigram query of an expression, over A-Z lower-cased UTF-8; True if any text may match.
 
-    Lower-casing only adds candidates, so it holds for expressions of either kind.
+    Lower-casing only adds candidates, so it holds for expressions with and without regard
+    to case.  One that disregards the case of letters beyond A-Z has no query: s then
+    matches a letter of another script, and what stands for it is no trigram of s.
     """
-    return _known(_walk(_parser.parse(pattern, flags)))
+    tree = _parser.parse(pattern, flags)
+    if not tree.state.flags & re.ASCII and (tree.state.flags & re.IGNORECASE or re.search(r"\(\?[a-zA-Z]*i", pattern)):
+        return True
+    return _known(_walk(tree))
 
 
 def grams_of(query) -> set[bytes]:
@@ -270,15 +275,15 @@ class Scanner:
 _SPAN = "array<struct<kind:string,start:long,end:long>>"
 
 
-def scan(docs: DataFrame, rules: tuple[Rule, ...] = BASE_RULES + MORE_RULES, text: str = "text") -> DataFrame:
-    """`docs` with a column `secrets`: (kind, start, end) of every span, by start, then by
+def scan(docs: DataFrame, rules: tuple[Rule, ...] = BASE_RULES + MORE_RULES, text: str = "text", to: str = "secrets") -> DataFrame:
+    """`docs` with a column `to`: (kind, start, end) of every span, by start, then by
     the order of rules; code points, end exclusive.
 
     A null or empty text has no spans; rows with null or repeated ids stay as they are.
-    A column of `docs` named `secrets` is replaced.
+    A column of `docs` named `to` is replaced.  An empty table stays empty.
     """
-    docs = docs.drop("secrets")
-    schema = T.StructType([*docs.schema.fields, T.StructField("secrets", T._parse_datatype_string(_SPAN))])
+    docs = docs.drop(to)
+    schema = T.StructType([*docs.schema.fields, T.StructField(to, T._parse_datatype_string(_SPAN))])
     at = docs.columns.index(text)
     kinds = [r.kind for r in rules]
 
@@ -287,7 +292,7 @@ def scan(docs: DataFrame, rules: tuple[Rule, ...] = BASE_RULES + MORE_RULES, tex
         kind = pa.struct([("kind", pa.string()), ("start", pa.int64()), ("end", pa.int64())])
         for batch in batches:
             found = [[{"kind": kinds[k], "start": a, "end": b} for a, b, k in spans] for spans in scanner.spans(batch.column(at))]
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(found, pa.list_(kind))], [*batch.schema.names, "secrets"])
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(found, pa.list_(kind))], [*batch.schema.names, to])
 
     return docs.mapInArrow(run, schema)
 
@@ -302,7 +307,9 @@ def _scanner(rules: tuple[Rule, ...]) -> Scanner:
 
 
 def digest(scanned: DataFrame, key: str = "doc_id") -> DataFrame:
-    """Counts and digests of the spans that `scan` found."""
+    """(key, n_<kind> of the base rules, base_sha256, spans): counts and digests of the spans
+    that `scan` found.  A null or empty text has counts of 0, no spans and the hash of
+    nothing; rows with null or repeated keys are each digested."""
     base = [r.kind for r in BASE_RULES]
     of = lambda kind: F.size(F.filter("secrets", lambda s: s["kind"] == kind)).cast("long")
     joined = lambda spans: F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"], s["end"])), ",")
@@ -316,11 +323,14 @@ def digest(scanned: DataFrame, key: str = "doc_id") -> DataFrame:
 
 def redact(docs: DataFrame, rules: tuple[Rule, ...] = BASE_RULES + MORE_RULES, text: str = "text") -> DataFrame:
     """`docs` with every secret in `text` replaced by "[kind]"; overlapping spans become
-    one, named after the first.  A text without secrets, or null, stays as it is."""
-    columns = docs.columns
-    found = scan(docs, rules, text)
+    one, named after the first.  A text without secrets, or null, stays as it is, and so
+    do all other columns, whatever their names."""
+    columns, spans = docs.columns, "spans"
+    while spans in columns:
+        spans += "_"
+    found = scan(docs, rules, text, spans)
     step = F.aggregate(
-        "secrets",
+        spans,
         F.struct(F.lit("").alias("done"), F.lit(0).cast("long").alias("to")),
         lambda acc, s: F.when(
             s["start"] >= acc["to"],
@@ -331,7 +341,7 @@ def redact(docs: DataFrame, rules: tuple[Rule, ...] = BASE_RULES + MORE_RULES, t
         ).otherwise(F.struct(acc["done"].alias("done"), F.greatest(acc["to"], s["end"]).alias("to"))),
         lambda acc: F.concat(acc["done"], F.substring(F.col(text), (acc["to"] + 1).cast("int"), F.length(text))),
     )
-    return found.withColumn(text, F.when(F.size("secrets") > 0, step).otherwise(F.col(text))).select(*columns)
+    return found.withColumn(text, F.when(F.size(spans) > 0, step).otherwise(F.col(text))).select(*columns)
 
 
 def _oracle() -> str:
