@@ -6,7 +6,9 @@ walk, which maps edit distance to Hamming distance: a pointer copies the word it
 stands on and then moves on or stays, as a random bit for the step and the word says.
 Sampled coordinates of several walks are the hash tables that windows and items meet
 in; walks are added until simulated edits at the limit are found with the target
-recall.  Candidates are verified by exact edit distance.
+recall.  Candidates are verified by exact edit distance.  Where MOST_WALKS walks don't
+reach the recall for some size of items, windows of that size are verified against every
+item that shares a word sequence with them instead.
 
 Only windows that can match are embedded: within k edits, n - g + 1 - k * g of an
 item's g-word sequences survive, so a window with fewer sequences of any item is no
@@ -71,7 +73,8 @@ def embed(windows: np.ndarray, n: int, walk: int) -> np.ndarray:
 
 
 def walks_for(n: int, k: int, recall: float) -> int:
-    """Walks after which items of n words with k random edits are found with `recall`."""
+    """Walks after which items of n words with k random edits are found with `recall`; 0 if
+    MOST_WALKS don't reach it."""
     rng = np.random.default_rng([n, k, 5])
     trials = 300
     originals = rng.integers(1, 1 << 63, (trials, n), dtype=np.uint64)
@@ -92,7 +95,7 @@ def walks_for(n: int, k: int, recall: float) -> int:
         found |= (embed(originals, n, walk) == embed(edited, n, walk)).any(1)
         if found.mean() >= recall:
             return walk + 1
-    return MOST_WALKS
+    return 0
 
 
 def edit_distance_in(item: np.ndarray, text: np.ndarray) -> tuple[int, int, int]:
@@ -151,8 +154,10 @@ class Items:
         for c in self.classes.values():
             c.walks = walks_for(c.n, c.k, recall) if c.k else 1
             rows = np.stack([self.hashes[i] for i in c.items])
-            c.grams = np.unique(np.concatenate([sequences(r, c.g) for r in rows]))
-            keys = np.concatenate([embed(rows, c.n, w) for w in range(c.walks)], axis=1)
+            parts = np.stack([sequences(r, c.g) for r in rows])
+            c.grams = np.unique(parts)
+            # without walks, an item's sequences are its keys
+            keys = np.concatenate([embed(rows, c.n, w) for w in range(c.walks)], axis=1) if c.walks else parts
             owners = np.repeat(np.array(c.items), keys.shape[1])
             order = np.argsort(keys.ravel(), kind="stable")
             c.keys, c.owners = keys.ravel()[order], owners[order]
@@ -223,8 +228,7 @@ class Items:
                 for i, (row, start) in enumerate(part):
                     words = self.rows[row][start : start + n]
                     windows[i, : len(words)] = words
-                for walk in range(c.walks):
-                    keys = embed(windows, n, walk)
+                for keys in (embed(windows, n, walk) for walk in range(c.walks)) if c.walks else (np.stack([self._sequences(row, start, c) for row, start in part]),):
                     first = np.searchsorted(c.keys, keys)
                     hit = c.keys[np.minimum(first, len(c.keys) - 1)] == keys
                     for i, t in zip(*np.nonzero(hit), strict=True):
@@ -234,6 +238,13 @@ class Items:
         self.open = {}
 
 
+    def _sequences(self, row: int, start: int, c: _Class) -> np.ndarray:
+        """Sequences of a passage as long as any within the limit of an item there; 0 beyond
+        the row's end."""
+        found = sequences(self.rows[row][start : start + c.n + c.k], c.g)
+        return np.append(found, np.zeros(c.n + c.k - c.g + 1 - len(found), np.uint64))
+
+
 def _among(values: np.ndarray, wanted: np.ndarray) -> np.ndarray:
     return wanted[np.minimum(np.searchsorted(wanted, values), len(wanted) - 1)] == values
 
@@ -271,19 +282,24 @@ def leaks(docs: DataFrame, benchmark: DataFrame, ratio: float = 0.2, recall: flo
     A document's words are its runs of bytes other than white space, A-Z in lower case.
     The passage given is the nearest, the first among equals; its end is exclusive.
     Null or empty documents and items leak nothing; rows with null or repeated keys are
-    each searched and give rows with their keys.
+    each searched and give rows with their keys.  Where both keys have one name, the
+    item's is item_<name>.  Empty tables give no rows.
     """
     docs = docs.select(key, text)
+    if item_key == key:
+        benchmark, item_key = benchmark.withColumnRenamed(item_key, f"item_{item_key}"), f"item_{item_key}"
     spark = docs.sparkSession
     columns = [T.StructField(x, T.LongType()) for x in ("distance", "n_words", "word_start", "word_end")]
     schema = T.StructType([docs.schema[key], T.StructField(item_key, benchmark.schema[item_key].dataType), *columns])
     item_type = schema[item_key].dataType
     out = spark.createDataFrame([], schema)
-    for items in _blocks(benchmark, item_key, item_text, ratio, recall):
+    for block in _blocks(benchmark, item_key, item_text, ratio, recall):
+        shared = spark.sparkContext.broadcast(block)  # BLOCK_ITEMS items at most
 
-        def run(batches: Iterator[pa.RecordBatch], items: Items = items) -> Iterator[pa.RecordBatch]:
+        def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
             from pyspark.sql.pandas.types import to_arrow_type
 
+            items = shared.value
             for batch in batches:
                 found = items.search(*tx.buffers(batch.column(1)))
                 if found:
@@ -294,20 +310,27 @@ def leaks(docs: DataFrame, benchmark: DataFrame, ratio: float = 0.2, recall: flo
                         [key, item_key, "distance", "n_words", "word_start", "word_end"],
                     )
 
+            tx.release()
+
         out = out.unionByName(docs.mapInArrow(run, schema))
     return out
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, ratio: float = 0.2, recall: float = 0.99, text: str = "text", item_key: str = "item_id", item_text: str = "text") -> DataFrame:
-    """`docs` without the rows that hold a leak; clean rows stay as they are."""
+    """`docs` without the rows that hold a leak; clean rows stay as they are, with all their
+    columns, null and empty texts among them.  Repeated rows go or stay together; an empty
+    benchmark takes nothing away."""
     at = docs.columns.index(text)
-    for items in _blocks(benchmark, item_key, item_text, ratio, recall):
+    for block in _blocks(benchmark, item_key, item_text, ratio, recall):
+        shared = docs.sparkSession.sparkContext.broadcast(block)  # BLOCK_ITEMS items at most
 
-        def run(batches: Iterator[pa.RecordBatch], items: Items = items) -> Iterator[pa.RecordBatch]:
+        def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
+            items = shared.value
             for batch in batches:
                 keep = np.ones(batch.num_rows, bool)
                 keep[[row for row, *_ in items.search(*tx.buffers(batch.column(at)))]] = False
                 yield batch.filter(pa.array(keep))
+            tx.release()
 
         docs = docs.mapInArrow(run, docs.schema)
     return docs
