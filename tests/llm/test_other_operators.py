@@ -170,6 +170,15 @@ def test_only_maximal_conversations_are_rendered(spark, monkeypatch):
     assert chat.render(df.limit(0)).count() == 0
 
 
+def test_chats_of_one_long_conversation(spark):
+    turns = [(1, t, "user", f"t{t}") for t in range(3000)] + [(2, t, "user", f"t{t}") for t in range(2900)] + [(3, 5, "user", "é" * 200_000)]
+    got = {}
+    for r in sorted(chat.render(spark.createDataFrame(turns, "conv_id long, turn long, role string, text string")).collect(), key=lambda r: (r["conv_id"], r["part"])):
+        assert r["n_turns"] == (3000 if r["conv_id"] == 1 else 1)
+        got[r["conv_id"]] = got.get(r["conv_id"], "") + r["formatted"]
+    assert got == {1: "".join(f"<|user|>\nt{t}\n" for t in range(3000)), 3: "<|user|>\n" + "é" * 200_000 + "\n"}
+
+
 def test_chats_of_null_keys(spark):
     df = spark.createDataFrame([(None, None, "user", "a"), (None, 1, "user", "b"), (1, 1, "user", "a")], "conv_id long, turn long, role string, text string")
     got = sorted((r["part"], r["conv_id"], r["formatted"]) for r in chat.render(df).collect())

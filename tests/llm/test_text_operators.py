@@ -102,6 +102,20 @@ def test_redaction_hides_all_and_changes_nothing_else(spark):
     assert got == ["é [assign] end", "clean", None, "[access] [hex]"]
 
 
+def test_redaction_keeps_columns_of_any_name(spark):
+    df = spark.createDataFrame([(1, "password=hunter22", "mine", 5), (None, None, None, None), (1, "password=hunter22", "mine", 5)], "doc_id long, text string, secrets string, spans int")
+    rows = secrets.redact(df).collect()
+    assert sorted((r["text"] or "", r["secrets"], r["spans"]) for r in rows if r["doc_id"]) == [("[assign]", "mine", 5)] * 2 and len(rows) == 3
+    assert secrets.digest(secrets.scan(df)).count() == 3 and secrets.redact(df.limit(0)).count() == 0
+    long = spark.createDataFrame([(1, "word " * 500_000 + "password=hunter22 " + "word " * 500_000)], "doc_id long, text string")
+    assert secrets.digest(secrets.scan(long)).first()["spans"] == "assign:2500000:2500017"
+
+
+def test_case_beyond_ascii_has_no_query():
+    assert secrets.trigram_query("straße", re.I) is True and secrets.trigram_query("(?i)secret") is True
+    assert secrets.trigram_query("secret", re.I | re.A) is not True and secrets.trigram_query("straße") is not True
+
+
 @pytest.mark.parametrize("pattern", ["ab+cde", "(?:foo|bar)baz", "x{3}y?z", "[ab]cd(e|f)", "a.c", "\\d+", "(abc)?def", "ab|.", "a{2,}bc"])
 def test_trigram_queries_never_lose_a_match(pattern):
     rng = random.Random(3)
@@ -600,6 +614,29 @@ def test_leaks_are_those_of_exact_search(spark):
     assert kept == set(range(len(texts))) - {i for i, _ in got}
 
 
+@pytest.mark.parametrize("most", [0, 64])
+def test_sizes_that_walks_do_not_reach_are_searched_in_full(spark, monkeypatch, most):
+    monkeypatch.setattr(decontaminate, "MOST_WALKS", most)
+    rng = random.Random(14)
+    items = [prose(rng, n, 2000) for n in (4, 9, 25) for _ in range(4)]
+    texts = [f"{prose(rng, 5, 2000)} {' '.join(x.split()[: len(x.split()) - len(x.split()) // 6])} {prose(rng, 9, 2000)}" for x in items] + [prose(rng, 200, 2000) for _ in range(20)]
+    got = {(r["doc_id"], r["item_id"]) for r in decontaminate.leaks(docs(spark, texts), spark.createDataFrame(list(enumerate(items)), "item_id long, text string")).collect()}
+    want = {(i, j) for i, t in enumerate(texts) for j, x in enumerate(items) if best_distance(x.split(), t.split()) <= int(0.2 * len(x.split()) + 1e-9)}
+    assert got == want and len(want) >= 12
+
+
+def test_leaks_of_odd_tables(spark):
+    same = spark.createDataFrame([(1, "one two three four five", "x"), (None, "one two three four five", "y"), (1, None, "z"), (2, "", "z")], "id long, text string, distance string")
+    rows = decontaminate.leaks(same, same.limit(1), key="id", item_key="id").collect()
+    assert sorted((r["id"] or 0, r["item_id"]) for r in rows) == [(0, 1), (1, 1)]
+    left = decontaminate.decontaminate(same, same.limit(1), item_key="id")
+    assert left.columns == same.columns and sorted(r["id"] for r in left.collect()) == [1, 2]
+    assert decontaminate.leaks(same.limit(0), same, key="id", item_key="id").count() == 0
+    long = spark.createDataFrame([(1, "word " * 300_000 + "one two three four five " + "other " * 300_000)], "id long, text string")
+    found = decontaminate.leaks(long, same.limit(1), key="id", item_key="id").collect()
+    assert [(r["word_start"], r["word_end"]) for r in found] == [(300_000, 300_005)]
+
+
 def test_benchmarks_in_blocks(spark, monkeypatch):
     rng = random.Random(11)
     items = [prose(rng, 20, 3000) for _ in range(12)]
