@@ -5,6 +5,7 @@ from __future__ import annotations
 import html
 import re
 import unicodedata
+from itertools import accumulate
 
 import pandas as pd
 from pyspark.sql import Column
@@ -35,10 +36,10 @@ def decode_entities(s: pd.Series) -> pd.Series:
 
 
 def strip_html(c: Column | str, tag: str = " ") -> Column:
-    """Text without tags (each becomes `tag`), entities decoded, white space squeezed.
-    Rows without an ampersand skip the decoder."""
+    """Text without tags (each becomes `tag`), entities decoded, white space squeezed.  The
+    decoder runs in Python; it gets the texts with an ampersand and null for the others."""
     bare = F.regexp_replace(_col(c), "<[^>]*>", tag)
-    return squeeze(F.when(bare.contains("&"), decode_entities(bare)).otherwise(bare))
+    return squeeze(F.coalesce(decode_entities(F.when(bare.contains("&"), bare)), bare))
 
 
 def strip_inline_html(c: Column | str) -> Column:
@@ -51,10 +52,20 @@ def utf16_length(c: Column | str) -> Column:
     return F.length(c) + F.length(F.regexp_replace(c, r"[^\x{10000}-\x{10FFFF}]", ""))
 
 
+def utf16_prefix(c: Column | str, units: int) -> Column:
+    """The longest beginning of a text that has no more than so many UTF-16 units."""
+    wide = F.regexp_replace(F.substring(_col(c), 1, units), r"([\x{10000}-\x{10FFFF}])", "$1\ufdd0")  # a noncharacter after each that counts two
+    cut = F.substring(wide, 1, units)
+    return F.replace(F.regexp_replace(cut, r"[\x{10000}-\x{10FFFF}]$", ""), F.lit("\ufdd0"), F.lit(""))
+
+
 def truncate_summary(c: Column | str, limit: int = 220) -> Column:
-    """Stripped text; a longer one is cut to limit - 1 characters, trimmed, with "..." after."""
+    """Stripped text; one of more than `limit` UTF-16 units is cut to limit - 1, trimmed,
+    with "..." after.  A character of two units isn't split."""
     text = strip_html(c)
-    return F.when(F.length(text) <= limit, text).otherwise(F.concat(trimmed(F.substring(text, 1, limit - 1)), F.lit("...")))
+    # a text that is longer in characters is longer in units, whatever they are
+    over = (F.length(text) > limit) | (utf16_length(F.substring(text, 1, limit)) > limit)
+    return F.when(over, F.concat(trimmed(utf16_prefix(text, limit - 1)), F.lit("..."))).otherwise(text)
 
 
 def search_terms(keywords: Column | str, labels: Column | str) -> Column:
@@ -137,24 +148,24 @@ def completeness(title: Column | str, summary: Column | str) -> Column:
     return F.when(whole, 0.4).otherwise(0.0) + 0.3 * title_overlap_ratio(title, summary) + 0.3 * F.least(F.length(trimmed(summary)) / 120, F.lit(1.0))
 
 
-@F.pandas_udf(T.ArrayType(T.StructType([T.StructField("start", T.IntegerType()), T.StructField("text", T.StringType()), T.StructField("highlighted", T.BooleanType())])))
+PART = T.StructType([T.StructField("start", T.IntegerType()), T.StructField("text", T.StringType()), T.StructField("highlighted", T.BooleanType())])
+
+
+@F.pandas_udf(T.ArrayType(PART))
 def highlight_parts(text: pd.Series, query: pd.Series) -> pd.Series:
-    """Parts of a text that match the query, whatever the case, and those between them."""
+    """A text split at the matches of the query, whatever the case; starts are in UTF-16
+    units.  Without a query or a match the text is one part."""
 
-    def parts(t: str | None, q: str | None) -> list[dict] | None:
+    def split(t: str | None, q: str | None) -> list[dict] | None:
         if t is None:
             return None
-        out, at, wanted = [], 0, (q or "").strip()
-        for m in re.finditer(re.escape(wanted), t, re.I) if wanted and t else ():
-            if m.start() > at:
-                out.append({"start": at, "text": t[at : m.start()], "highlighted": False})
-            out.append({"start": m.start(), "text": m[0], "highlighted": True})
-            at = m.end()
-        if at < len(t) or not out:
-            out.append({"start": at, "text": t[at:], "highlighted": False})
-        return out
+        wanted = (q or "").strip()
+        pieces = re.split(f"({re.escape(wanted)})", t, flags=re.I) if wanted else [t]  # every second is a match
+        starts = accumulate((len(p.encode("utf-16-le")) // 2 for p in pieces), initial=0)
+        parts = [{"start": a, "text": p, "highlighted": i % 2 == 1} for i, (a, p) in enumerate(zip(starts, pieces, strict=False)) if p]
+        return parts or [{"start": 0, "text": "", "highlighted": False}]
 
-    return pd.Series([parts(t, q) for t, q in zip(text, query, strict=True)])
+    return pd.Series([split(t, q) for t, q in zip(text, query, strict=True)])
 
 
 def normalize_ellipses(c: Column | str) -> Column:
@@ -167,10 +178,7 @@ def summary_lead(segments: Column | str) -> Column:
 
 
 # Fixed value: words that say that a keyword is a subject and no person's name.
-NO_NAME = (
-    "축구|협회|감독|사령탑|선임|후보|후임|차기|위원|선거|선출|출마|지원|도전|복귀|감사|해명|사퇴|정관|지도자|유소년|"
-    "거버넌스|육성|시스템|제도|규정|조사|결과|혁신|개혁|책임|논란|비판|반발|발언|청문회"
-)
+NO_NAME = "축구|협회|감독|사령탑|선임|후보|후임|차기|위원|선거|선출|출마|지원|도전|복귀|감사|해명|사퇴|정관|지도자|유소년|거버넌스|육성|시스템|제도|규정|조사|결과|혁신|개혁|책임|논란|비판|반발|발언|청문회"
 
 
 def looks_like_person(keyword: Column | str) -> Column:
@@ -212,6 +220,19 @@ def parse_date(c: Column | str) -> Column:
     return F.coalesce(mail, F.try_to_timestamp(c))
 
 
+def seoul_date(c: Column | str, now: Column | None = None) -> Column:
+    """A timestamp as it is shown: minutes, hours and days ago up to a week with `now`, or
+    the date in Seoul."""
+    c = _col(c)
+    day = F.date_format(F.from_utc_timestamp(F.to_utc_timestamp(c, F.current_timezone()), "Asia/Seoul"), "yyyy.MM.dd")
+    if now is None:
+        return day
+    minutes = F.floor((F.unix_millis(now) - F.unix_millis(c)) / 60_000)
+    shown = F.when(minutes < 1, "방금 전").when(minutes < 60, F.concat(minutes.cast("string"), F.lit("분 전")))
+    shown = shown.when(minutes < 1440, F.concat(F.floor(minutes / 60).cast("string"), F.lit("시간 전")))
+    return shown.when(minutes < 10_080, F.concat(F.floor(minutes / 1440).cast("string"), F.lit("일 전"))).otherwise(day)
+
+
 def official_date(c: Column | str, fallback: Column) -> Column:
     """Date and time in Seoul of a text like 2026.1.5 9:30, what is in parentheses left out."""
     bare = F.regexp_replace(_col(c), r"\([^)]*\)", " ")

@@ -12,7 +12,7 @@ from feedweave.operators import reports as R
 from feedweave.operators import retention as N
 from feedweave.operators import similarity as S
 from feedweave.operators import validation as V
-from feedweave.operators.classify import FOOTBALL, Classifier, Issue, Person, Rules, classified, segments
+from feedweave.operators.classify import FOOTBALL, Classifier, Issue, Near, Person, Rules, classified, segments
 from feedweave.operators.components import components
 
 
@@ -149,7 +149,7 @@ def test_violations(spark):
     V.check(V.item_violations(rows(spark, [{"id": "a"}])))
 
 
-RULES = Rules(strong=("Harbour Board",), weak=("board",), weak_context="election|audit", high_interest=("audit",), labels={"audit": "mentions an audit"}, base_queries=("Harbour Board",), query_prefix="harbour")
+RULES = Rules(strong=("Harbour Board",), weak=("board",), near={"board": Near("board", ("election", "audit"), 200)}, high_interest=("audit",), labels={"audit": "mentions an audit"}, base_queries=("Harbour Board",), query_prefix="harbour")
 ISSUES = [Issue("vote", ("ballot",), required=(("election", "vote"),), excluded=("school",), priority=2), Issue("money", ("budget",), priority=1)]
 PEOPLE = [Person("kim", "Kim", ("Kim",), context=("Board",))]
 

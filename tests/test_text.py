@@ -84,3 +84,19 @@ def test_person_words_and_shorts(spark):
     assert one(spark, X.looks_like_person("v"), "홍 길동") and not one(spark, X.looks_like_person("v"), "감독 선임")
     row = lambda t, tags: spark.createDataFrame([(t, tags)], "t string, g array<string>").select(X.explicit_shorts("t", F.lit(""), "g").alias("r")).first()["r"]
     assert row("a #Shorts", None) and row("a", ["#쇼츠"]) and not row("a #shortstory", ["long"])
+
+
+def test_lengths_are_in_utf16_units(spark):
+    wide = "\U0001f600"
+    rows = [(wide * 110,), (wide * 111,), ("a" * 220,), ("a" * 221,), ("a" + wide * 120,), (None,), ("a &amp; b",)]
+    got = [r["s"] for r in spark.createDataFrame(rows, "t string").select(X.truncate_summary("t").alias("s")).collect()]
+    assert got == [wide * 110, wide * 109 + "...", "a" * 220, "a" * 219 + "...", "a" + wide * 109 + "...", None, "a & b"]
+    parts = spark.createDataFrame([(wide + "xAx", "X"), ("abc", ""), ("", "a"), (None, "a")], "t string, q string").select(X.highlight_parts("t", "q").alias("r")).collect()
+    assert [[(p["start"], p["text"], p["highlighted"]) for p in r["r"]] if r["r"] else None for r in parts] == [[(0, wide, False), (2, "x", True), (3, "A", False), (4, "x", True)], [(0, "abc", False)], [(0, "", False)], None]
+
+
+def test_dates_as_shown(spark):
+    made = [("2024-01-31 23:30:00", 30), ("2024-02-01 02:00:00", 60 * 5), ("2024-01-31 00:00:00", 60 * 24 * 3), ("2023-12-31 15:00:00", 60 * 24 * 9)]
+    df = spark.createDataFrame(made, "t string, m int").select(F.col("t").cast("timestamp").alias("t"), "m")
+    now = F.timestamp_millis(F.unix_millis("t") + F.col("m") * 60_000)
+    assert [tuple(r) for r in df.select(X.seoul_date("t", now), X.seoul_date("t")).collect()] == [("30분 전", "2024.02.01"), ("5시간 전", "2024.02.01"), ("3일 전", "2024.01.31"), ("2024.01.01", "2024.01.01")]
