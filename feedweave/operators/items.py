@@ -33,7 +33,7 @@ ITEM = T.StructType(
 FEED = ("id", "type", "title", "summary", "url", "originalUrl", "publisher", "publishedAt", "collectedAt", "matchedKeywords", "issueTags", "personTags", "sourceType", "isOfficial", "relevanceScore", "relevanceTier", "labels")
 RELATED = ("id", "title", "url", "publisher", "publishedAt")
 LINK = ("id", "title", "url", "publisher", "publishedAt", "sourceType")
-REVISION = ("id", "type", "title", "summary", "url", "publisher", "publishedAt", "collectedAt", "matchedKeywords", "issueTags", "personTags", "sourceType", "relevanceScore", "relevanceTier", "labels")
+REVISION = ("id", "title", "summary", "url", "publisher", "publishedAt", "collectedAt", "matchedKeywords", "issueTags", "personTags", "sourceType", "relevanceScore", "relevanceTier", "labels", "youtube")
 
 
 # Projections

@@ -6,6 +6,7 @@ import hashlib
 import json
 import os
 import tempfile
+import threading
 import time
 from collections.abc import Callable
 from dataclasses import dataclass, field
@@ -54,22 +55,62 @@ def read_shards(spark: SparkSession, folder: str) -> DataFrame:
     return read_json(spark, f"{folder}/[0-9][0-9][0-9][0-9]-[0-9][0-9]-[0-9][0-9].json", ITEM)
 
 
-def write_shards(items: DataFrame, root: str) -> str:
-    """Items by day as Parquet in a new version folder of `root`, which then becomes the
-    current one.  Days without items are gone with the old version; readers of that
-    aren't disturbed.  Each day's rows are dealt to few tasks, so days have few files."""
+def write_shards(items: DataFrame, root: str, stories: DataFrame | None = None) -> str:
+    """Items by day as Parquet in a new version folder of `root`, beside it their stories,
+    and then one pointer to both.  Days without items are gone with the old version; readers
+    of that aren't disturbed, and a step that fails leaves it the current one.  Each day's
+    rows are dealt to few tasks, so days have few files."""
     path = f"{root}/v-{time.time_ns():020d}"
     items.withColumn("shard_date", shard_date()).repartition("shard_date", F.pmod(F.xxhash64("id"), F.lit(4))).write.partitionBy("shard_date").parquet(path)
-    _replace(items.sparkSession, f"{root}/current.json", {"path": path})
+    if stories is not None:
+        stories.write.parquet(f"{path}-stories")
+    _replace(items.sparkSession, f"{root}/current.json", {"path": path, "stories": f"{path}-stories" if stories is not None else None})
     return path
 
 
-def read_versions(spark: SparkSession, root: str) -> DataFrame:
-    """The current version of what `write_shards` wrote; no rows where there is none."""
+class LostPointer(OSError):
+    """Versions without a pointer to the current one."""
+
+
+def _current(spark: SparkSession, root: str) -> dict | None:
+    """What the pointer says; None where nothing was ever written."""
     pointer = read_text(spark, f"{root}/current.json")
-    if pointer is None:
-        return spark.createDataFrame([], T.StructType([*ITEM.fields, T.StructField("shard_date", T.StringType())]))
-    return spark.read.schema(T.StructType([*ITEM.fields, T.StructField("shard_date", T.StringType())])).parquet(json.loads(pointer)["path"])
+    if pointer is not None:
+        return json.loads(pointer)
+    fs, folder = _path(spark, root)
+    # the first version may be on its way, but one that another came after has been current
+    if fs.exists(folder) and sum(s.isDirectory() and s.getPath().getName().startswith("v-") and not s.getPath().getName().endswith("-stories") for s in fs.listStatus(folder)) > 1:
+        raise LostPointer(f"{root} has versions and no current.json")
+    return None
+
+
+def read_versions(spark: SparkSession, root: str) -> DataFrame:
+    """The current version of what `write_shards` wrote; no rows where nothing was written.
+    Versions without a pointer raise LostPointer."""
+    schema = T.StructType([*ITEM.fields, T.StructField("shard_date", T.StringType())])
+    now = _current(spark, root)
+    return spark.createDataFrame([], schema) if now is None else spark.read.schema(schema).parquet(now["path"])
+
+
+def read_stories(spark: SparkSession, root: str) -> DataFrame:
+    """The stories of the current version; no rows where it has none."""
+    now = _current(spark, root)
+    return spark.createDataFrame([], CLUSTER) if now is None or not now.get("stories") else spark.read.schema(CLUSTER).parquet(now["stories"])
+
+
+def drop_old_versions(spark: SparkSession, root: str, keep: int = 2) -> list[str]:
+    """Delete all but the `keep` newest versions, the current one in any case not; their names."""
+    now = _current(spark, root)
+    fs, folder = _path(spark, root)
+    if now is None:
+        return []
+    names = sorted(s.getPath().getName() for s in fs.listStatus(folder) if s.isDirectory() and s.getPath().getName().startswith("v-"))
+    versions = sorted({n.removesuffix("-stories") for n in names})
+    gone = [v for v in versions[: -keep if keep else None] if not now["path"].endswith(v)]
+    for name in names:
+        if name.removesuffix("-stories") in gone:
+            fs.delete(spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder, name), True)
+    return gone
 
 
 def from_history(versions: DataFrame, order: list[Column]) -> DataFrame:
@@ -102,19 +143,20 @@ def read_text(spark: SparkSession, path: str) -> str | None:
 def write_text(spark: SparkSession, path: str, text: str, replace: bool = True) -> bool:
     """Write beside the place and rename, so that readers see all or nothing.  With
     replace false an existing file stays; says whether it wrote."""
+    jvm = spark.sparkContext._jvm
     fs, p = _path(spark, path)
     if not replace and fs.exists(p):
         return False
-    beside = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{path}.{time.time_ns()}.tmp")
+    beside = jvm.org.apache.hadoop.fs.Path(f"{path}.{time.time_ns()}.tmp")
     out = fs.create(beside, True)
     try:
         out.write(bytearray(text.encode("utf-8")))
     finally:
         out.close()
-    if fs.exists(p):
-        fs.delete(p, False)
-    if not fs.rename(beside, p):
-        raise OSError(f"{path} can't be replaced")
+    options = spark.sparkContext._gateway.new_array(jvm.org.apache.hadoop.fs.Options.Rename, 1)
+    options[0] = jvm.org.apache.hadoop.fs.Options.Rename.OVERWRITE if replace else jvm.org.apache.hadoop.fs.Options.Rename.NONE
+    # one step of the file system: a reader finds the old file or the new one
+    jvm.org.apache.hadoop.fs.FileContext.getFileContext(fs.getUri(), spark.sparkContext._jsc.hadoopConfiguration()).rename(fs.makeQualified(beside), fs.makeQualified(p), options)
     return True
 
 
@@ -177,7 +219,8 @@ def publish(spark: SparkSession, root: str, body: str, manifest: dict) -> None:
 @dataclass
 class SnapshotLoader:
     """The current snapshot, kept for `ttl` seconds; a failed refresh keeps the old one and
-    is tried again after `retry` seconds.  Without any snapshot the failure is raised."""
+    is tried again after `retry` seconds.  Without any snapshot the failure is raised.  Of
+    callers at the same time one refreshes: others get the old one, or wait for the first."""
 
     spark: SparkSession
     root: str
@@ -188,10 +231,16 @@ class SnapshotLoader:
     manifest: dict | None = None
     stale: bool = False
     _due: float = field(default=float("-inf"))
+    _one: threading.Lock = field(default_factory=threading.Lock)
 
     def get(self) -> dict:
         if self.value is None or self.clock() >= self._due:
-            self._refresh()
+            if self._one.acquire(blocking=self.value is None):
+                try:
+                    if self.value is None or self.clock() >= self._due:
+                        self._refresh()
+                finally:
+                    self._one.release()
         return self.value
 
     def _refresh(self) -> None:
@@ -212,17 +261,34 @@ class SnapshotLoader:
             self.stale, self._due = True, self.clock() + min(self.retry, self.ttl)
 
 
-def revision(items: DataFrame) -> DataFrame:
-    """One row: a hash of what the feed shows of all items, whatever their order.
+def load_items(spark: SparkSession, folder: str | None = None, loader: SnapshotLoader | None = None) -> DataFrame:
+    """Items of the published snapshot if there is a loader, else of a folder of day files."""
+    if loader is not None:
+        return spark.createDataFrame([json.dumps(i) for i in loader.get()["items"]], T.StringType()).select(F.from_json("value", ITEM).alias("i")).select("i.*")
+    if folder is None:
+        raise ValueError("neither a folder nor a loader")
+    return read_shards(spark, folder)
+
+
+def revision(items: DataFrame, stories: DataFrame | None = None) -> DataFrame:
+    """One row: a hash of what the feed shows of all items, and of their stories if given,
+    whatever the order of rows.
 
     The rows' hashes are added up as numbers, so no task holds them all.
     """
     from feedweave.operators.items import REVISION
 
-    h = F.sha2(F.to_json(F.struct(*[c for c in REVISION if c in items.columns])), 256)
-    part = lambda i: F.conv(F.substring(h, i, 15), 16, 10).cast("decimal(38,0)")
-    sums = items.agg(F.count("*").alias("n"), *(F.coalesce(F.sum(part(i)), F.lit(0)).alias(f"s{i}") for i in (1, 16, 31, 46)))
-    return sums.select(F.sha2(F.concat_ws(":", "n", "s1", "s16", "s31", "s46"), 256).alias("revision"))
+    def sums(rows: DataFrame) -> DataFrame:
+        h = F.sha2(F.to_json(F.struct("*")), 256)
+        part = lambda i: F.conv(F.substring(h, i, 15), 16, 10).cast("decimal(38,0)")
+        added = rows.agg(F.count("*").alias("n"), *(F.coalesce(F.sum(part(i)), F.lit(0)).alias(f"s{i}") for i in (1, 16, 31, 46)))
+        return added.select(F.sha2(F.concat_ws(":", "n", "s1", "s16", "s31", "s46"), 256).alias("revision"))
+
+    shown = sums(items.select([c for c in REVISION if c in items.columns]))
+    if stories is None:
+        return shown
+    both = shown.crossJoin(sums(stories.select("id", "seedItemId", "memberIds")).withColumnRenamed("revision", "of_stories"))  # one row each
+    return both.select(F.sha2(F.concat_ws(":", "revision", "of_stories"), 256).alias("revision"))
 
 
 # Feeds for readers and crawlers

@@ -105,3 +105,66 @@ def test_states_after_runs():
     out = runs.collector_states({"x": {"lastCollectedAt": "old", "lastRunStatus": "success"}}, {"x": r(2, 0, 2), "y": r(0, 0, 0)}, {"x": 5}, {}, "now")
     assert out["x"]["lastCollectedAt"] == "old" and out["x"]["lastRunStatus"] == "failed" and out["y"]["lastRunStatus"] == "never"
     assert runs.blocking_failures([("x", r(1, 0, 1), True), ("y", r(1, 0, 1), False)]) == ["x"]
+
+
+def test_a_lost_pointer_is_no_empty_table(spark, tmp_path):
+    root = str(tmp_path)
+    for name in "ab":
+        P.write_shards(rows(spark, [{"id": name}]), root)
+    (tmp_path / "current.json").unlink()
+    with pytest.raises(P.LostPointer):
+        P.read_versions(spark, root)
+
+
+def test_a_step_that_fails_leaves_the_last_version(spark, tmp_path, monkeypatch):
+    root = str(tmp_path)
+    story = spark.createDataFrame([("s", "a", ["a", "b"])], P.CLUSTER)
+    P.write_shards(rows(spark, [{"id": "a"}, {"id": "b"}]), root, story)
+    broken = story.select("id", "seedItemId", F.raise_error(F.lit("no")).alias("memberIds"))
+    with pytest.raises(Exception, match="no"):
+        P.write_shards(rows(spark, [{"id": "c"}]), root, broken)  # after the items, before the stories
+    monkeypatch.setattr(P, "_replace", lambda *a: (_ for _ in ()).throw(OSError("stopped")))
+    with pytest.raises(OSError, match="stopped"):
+        P.write_shards(rows(spark, [{"id": "d"}]), root, story)  # before the pointer
+    monkeypatch.undo()
+    assert sorted(r["id"] for r in P.read_versions(spark, root).collect()) == ["a", "b"]
+    assert [r["memberIds"] for r in P.read_stories(spark, root).collect()] == [["a", "b"]]
+    P.write_shards(rows(spark, [{"id": "e"}]), root)
+    assert P.read_stories(spark, root).count() == 0 and len(P.drop_old_versions(spark, root, 1)) == 3
+    assert [r["id"] for r in P.read_versions(spark, root).collect()] == ["e"] and not list(tmp_path.glob("*.tmp"))
+
+
+def test_revision_sees_stories_and_videos(spark):
+    a = rows(spark, [{"id": "a"}, {"id": "b"}])
+    one, two = (spark.createDataFrame([("s", "a", m)], P.CLUSTER) for m in (["a", "b"], ["a", "c"]))
+    seen = {P.revision(a).first()[0], P.revision(a, one).first()[0], P.revision(a, two).first()[0], P.revision(a.withColumn("youtube", F.struct(F.lit("v").alias("videoId")))).first()[0]}
+    assert len(seen) == 4 and P.revision(a, one).first() == P.revision(a.repartition(2), one).first()
+
+
+def test_one_of_many_callers_refreshes(spark, tmp_path):
+    import threading
+
+    body, manifest = P.serialize(rows(spark, [{"id": "a"}]), {}, "2026-01-01T00:00:00Z")
+    P.publish(spark, str(tmp_path), body, manifest)
+    loader, times = P.SnapshotLoader(spark, str(tmp_path)), []
+    inner = loader._refresh
+    loader._refresh = lambda: (times.append(1), inner())
+    callers = [threading.Thread(target=loader.get) for _ in range(6)]
+    for c in callers:
+        c.start()
+    for c in callers:
+        c.join()
+    assert len(times) == 1 and [r["id"] for r in P.load_items(spark, loader=loader).collect()] == ["a"]
+    with pytest.raises(ValueError):
+        P.load_items(spark)
+
+
+def test_the_first_of_late_events_holds(spark, tmp_path):
+    source, out = tmp_path / "in", {}
+    made = [[(1, "2024-01-05 00:00:00", 7), (1, "2024-01-05 00:00:00", 6), (2, "2024-01-06 00:00:00", 1), (3, None, 9)], [(1, "2024-01-04 00:00:00", 8), (2, "2024-01-07 00:00:00", 2)]]
+    for i, part in enumerate(made):
+        spark.createDataFrame(part, "k long, t string, id long").select("k", F.col("t").cast("timestamp").alias("t"), "id").coalesce(1).write.mode("append").parquet(str(source))
+        events = spark.readStream.schema("k long, t timestamp, id long").parquet(str(source))
+        keep = lambda b, n: [out.setdefault(r["k"], []).append(r["id"]) for r in b.collect()]
+        runs.stream_first_seen(events, "k", "t", "id").writeStream.outputMode("update").foreachBatch(keep).option("checkpointLocation", str(tmp_path / "state")).trigger(availableNow=True).start().awaitTermination()
+    assert out == {1: [6, 8], 2: [1]}
