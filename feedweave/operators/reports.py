@@ -103,9 +103,52 @@ def best_observations(seen: DataFrame, key: str, query: str) -> DataFrame:
     return out.select(key, "best.title", "best.summary", "queries")
 
 
+def observed_queries(seen: DataFrame, key: str, query: str) -> DataFrame:
+    """(key, queries): all queries that each key was seen by, sorted."""
+    return seen.groupBy(key).agg(F.array_sort(F.collect_set(query)).alias("queries"))
+
+
+def with_observations(videos: DataFrame, observed: DataFrame, key: str = "videoId") -> DataFrame:
+    """Videos that were observed, with their queries; others are left out."""
+    return videos.join(observed, key)
+
+
+def with_format_cache(videos: DataFrame, cache: DataFrame, now: Column, ttl: str = "INTERVAL 30 DAYS", key: str = "videoId") -> DataFrame:
+    """Videos with the cached classification and evidence of their format; null where there
+    is none, or one older than `ttl`."""
+    fresh = cache.where(F.try_to_timestamp(F.col("checkedAt").cast("string")) >= now - F.expr(ttl)).select(key, "classification", "evidence")
+    return videos.join(fresh, key, "left")
+
+
+def with_fetched_tags(items: DataFrame, fetched: DataFrame, key: str = "videoId") -> DataFrame:
+    """Items with the column `fetchedTags` of (key, tags): null where the lookup didn't find
+    the video, and an empty array where it found it without tags."""
+    found = fetched.select(key, F.coalesce("tags", F.array().cast("array<string>")).alias("fetchedTags"))
+    return items.join(found, key, "left")
+
+
+def tags_of(dimension: DataFrame, items: DataFrame, tags: str) -> DataFrame:
+    """Rows of a dimension (id) that some item is tagged with."""
+    return dimension.join(items.select(F.explode(tags).alias("id")).distinct(), "id", "left_semi")
+
+
 # Runs
 
 
+def latest_collection(collectors: DataFrame, fallback: Column, time: str = "lastCollectedAt") -> DataFrame:
+    """One row: the latest time of the collectors as written, or the fallback if none has one."""
+    return collectors.agg(F.coalesce(F.max_by(time, F.struct(X.feed_millis(time), F.col(time).cast("string"))), fallback).alias("latest"))
+
+
+def reclassification_report(before: DataFrame, after: DataFrame) -> DataFrame:
+    """(id, change, was, now) of the items that another classification moves: removed, or of
+    another tier, null tiers as primary."""
+    tier = lambda d, name: d.select("id", F.coalesce("relevanceTier", F.lit("primary")).alias(name))
+    both = tier(before, "was").join(tier(after, "now"), "id", "left")
+    change = F.when(F.col("now").isNull(), "removed").when(F.col("was") != F.col("now"), "tier")
+    return both.withColumn("change", change).where("change is not null").select("id", "change", "was", "now")
+
+
 def by_collection(items: DataFrame) -> DataFrame:
     return items.groupBy("collectedAt").agg(F.count("*").alias("n"))
 

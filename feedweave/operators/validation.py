@@ -49,7 +49,10 @@ def item_violations(items: DataFrame) -> DataFrame:
         "url": ~F.regexp_like("url", F.lit("(?i)^https?://[^/]+")),
         "bounds": F.coalesce((state["earliestPublishedAt"] > state["latestPublishedAt"]) | (state["representativeCollectedAt"] > state["latestCollectedAt"]), F.lit(False)),
     }
-    return reduce(DataFrame.unionByName, [*(violations(items, r, b) for r, b in rules.items()), duplicates(items, "unique id")])
+    # one array of the rules broken a row, so the items are read once, and once more for their ids
+    broken = F.array_compact(F.array(*(F.when(F.coalesce(b, F.lit(True)), F.lit(r)) for r, b in rules.items())))
+    found = items.select(F.explode(broken).alias("rule"), F.col("id").cast("string").alias("key"), F.lit("").alias("detail"))
+    return found.unionByName(duplicates(items, "unique id"))
 
 
 def cluster_violations(clusters: DataFrame, items: DataFrame, pairs: DataFrame) -> DataFrame:
@@ -68,11 +71,16 @@ def cluster_violations(clusters: DataFrame, items: DataFrame, pairs: DataFrame)
 
 
 def bundle_violations(items: DataFrame, issues: DataFrame, people: DataFrame, total: int) -> DataFrame:
+    """Rules on items and on what they refer to."""
+    return item_violations(items).unionByName(table_violations(items, issues, people, total))
+
+
+def table_violations(items: DataFrame, issues: DataFrame, people: DataFrame, total: int) -> DataFrame:
     """Rules on all tables: unique ids, tags that exist, and the number of items."""
     count = items.agg(F.count("*").alias("n")).select(F.lit("items").alias("id"), "n")
     return reduce(
         DataFrame.unionByName,
-        [item_violations(items), duplicates(issues, "unique issue"), duplicates(people, "unique person"), orphans(items, "issueTags", issues, "issue tag"), orphans(items, "personTags", people, "person tag"), violations(count, "total", F.col("n") != total, "id", F.col("n"))],
+        [duplicates(issues, "unique issue"), duplicates(people, "unique person"), orphans(items, "issueTags", issues, "issue tag"), orphans(items, "personTags", people, "person tag"), violations(count, "total", F.col("n") != total, "id", F.col("n"))],
     )
 
 

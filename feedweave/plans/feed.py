@@ -221,7 +221,7 @@ def observation_best_per_key(spark: SparkSession, sf: str) -> DataFrame:
 
 @query("observed_ids", "SELECT user_id, string_agg(DISTINCT event_type, ',' ORDER BY event_type) AS queries FROM events GROUP BY 1")
 def observed_ids(spark: SparkSession, sf: str) -> DataFrame:
-    return read(spark, sf, "events").groupBy("user_id").agg(F.array_join(F.array_sort(F.collect_set("event_type")), ",").alias("queries"))
+    return R.observed_queries(read(spark, sf, "events"), "user_id", "event_type").withColumn("queries", F.array_join("queries", ","))
 
 
 def _members(spark: SparkSession, sf: str) -> DataFrame:
@@ -259,22 +259,22 @@ def cluster_stats(spark: SparkSession, sf: str) -> DataFrame:
     return K.stats(same)
 
 
-@query("anti_removed", "SELECT c_custkey AS id, c_name FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders)")
+@query("anti_removed", "SELECT c_custkey AS id, c_name FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders WHERE o_orderpriority = '1-URGENT')")
 def anti_removed(spark: SparkSession, sf: str) -> DataFrame:
-    return R.removed(read(spark, sf, "customer").select(F.col("c_custkey").alias("id"), "c_name"), read(spark, sf, "orders").select(F.col("o_custkey").alias("id")))
+    return R.removed(read(spark, sf, "customer").select(F.col("c_custkey").alias("id"), "c_name"), read(spark, sf, "orders").where("o_orderpriority = '1-URGENT'").select(F.col("o_custkey").alias("id")))
 
 
 @query("semi_related", "SELECT n_nationkey, n_name FROM nation WHERE n_nationkey IN (SELECT c_nationkey FROM customer JOIN orders ON o_custkey = c_custkey WHERE o_orderpriority = '1-URGENT')")
 def semi_related(spark: SparkSession, sf: str) -> DataFrame:
     urgent = read(spark, sf, "orders").where("o_orderpriority = '1-URGENT'")
-    nations = read(spark, sf, "customer").join(urgent, F.col("o_custkey") == F.col("c_custkey"), "left_semi")
-    return read(spark, sf, "nation").join(nations, F.col("n_nationkey") == F.col("c_nationkey"), "left_semi").select("n_nationkey", "n_name")
+    tagged = read(spark, sf, "customer").join(urgent, F.col("o_custkey") == F.col("c_custkey"), "left_semi").select(F.array("c_nationkey").alias("tags"))
+    return R.tags_of(read(spark, sf, "nation").withColumn("id", F.col("n_nationkey")), tagged, "tags").select("n_nationkey", "n_name")
 
 
-@query("orphan_tags", EV + ", d AS (SELECT DISTINCT tag FROM ev WHERE relevanceTier = 'secondary' AND published_ms < epoch_ms(TIMESTAMP '2024-01-10 00:00:00')) SELECT 'issue tag' AS rule, id AS key, tag AS detail FROM ev WHERE tag NOT IN (SELECT tag FROM d)")
+@query("orphan_tags", EV + ", d AS (SELECT DISTINCT tag FROM ev WHERE published_ms < epoch_ms(TIMESTAMP '2024-01-01 03:00:00')) SELECT 'issue tag' AS rule, id AS key, tag AS detail FROM ev WHERE tag NOT IN (SELECT tag FROM d)")
 def orphan_tags(spark: SparkSession, sf: str) -> DataFrame:
     items = event_items(spark, sf)
-    early = items.where((F.col("relevanceTier") == "secondary") & (F.col("published_ms") < F.unix_millis(F.lit("2024-01-10 00:00:00").cast("timestamp"))))
+    early = items.where(F.col("published_ms") < F.unix_millis(F.lit("2024-01-01 03:00:00").cast("timestamp")))
     return V.orphans(items, "issueTags", early.select(F.explode("issueTags").alias("id")).distinct(), "issue tag")
 
 
@@ -342,12 +342,19 @@ def publisher_from_url(spark: SparkSession, sf: str) -> DataFrame:
     return read(spark, sf, "pages").select("page_id", U.publisher("url").alias("publisher"))
 
 
-@query("url_canonical")
+@query(
+    "url_canonical",
+    r"""WITH u AS (SELECT page_id, regexp_extract(url, '^[^?#]+') AS place, list_sort(list_filter(string_split(regexp_extract(url, '\?([^#]*)', 1), '&'), lambda p: p <> '' AND NOT starts_with(lower(p), 'utm_'))) AS kept FROM pages)
+SELECT page_id, regexp_replace(place || CASE WHEN len(kept) > 0 THEN '?' || array_to_string(kept, '&') ELSE '' END, '/$', '') AS canonical FROM u""",
+)
 def url_canonical(spark: SparkSession, sf: str) -> DataFrame:
     return read(spark, sf, "pages").select("page_id", U.canonical_url("url").alias("canonical"))
 
 
-@query("strip_html")
+@query(
+    "strip_html",
+    r"""SELECT page_id, trim(regexp_replace(replace(replace(replace(replace(replace(replace(replace(replace(regexp_replace(html, '<[^>]*>', ' ', 'g'), '&copy;', '©'), '&middot;', '·'), '&nbsp;', ' '), '&lt;', '<'), '&gt;', '>'), '&quot;', '"'), '&#x27;', chr(39)), '&amp;', '&'), '\s+', ' ', 'g')) AS text FROM pages""",
+)
 def strip_html(spark: SparkSession, sf: str) -> DataFrame:
     return read(spark, sf, "pages").select("page_id", X.strip_html("html").alias("text"))
 
@@ -478,7 +485,11 @@ def near_miss_report(spark: SparkSession, sf: str) -> DataFrame:
     return K.near_misses(items, K.build(items), least=0.2)
 
 
-@query("highlight_parts")
+@query(
+    "highlight_parts",
+    """WITH p AS (SELECT item_id, unnest(parts) AS text, unnest(range(1, len(parts) + 1)) AS i FROM (SELECT item_id, string_split(regexp_replace(text, '(?i)(the)', chr(1) || '\\1' || chr(1), 'g'), chr(1)) AS parts FROM benchmark)),
+s AS (SELECT *, CAST(coalesce(sum(length(text)) OVER (PARTITION BY item_id ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS INT) AS start FROM p) SELECT item_id, start, text, i % 2 = 0 AS highlighted FROM s WHERE text <> ''""",
+)
 def highlight_parts(spark: SparkSession, sf: str) -> DataFrame:
     return read(spark, sf, "benchmark").select("item_id", F.explode(X.highlight_parts(F.col("text"), F.lit("the"))).alias("part")).select("item_id", "part.start", "part.text", "part.highlighted")
 
@@ -530,7 +541,7 @@ def group_freshness(spark: SparkSession, sf: str) -> DataFrame:
     return event_items(spark, sf).select("id", F.round((F.col("published_ms") - low) / (high - low), 6).alias("freshness"))
 
 
-@query("stream_retention")
+@query("stream_retention", "SELECT user_id, event_id FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS n FROM events) WHERE n = 1")
 def stream_retention(spark: SparkSession, sf: str) -> DataFrame:
     """The first event of each user by streaming, from the table's files."""
     from feedweave.operators.components import shared_folder
@@ -541,8 +552,9 @@ def stream_retention(spark: SparkSession, sf: str) -> DataFrame:
     files = table.inputFiles()
     place, name = files[0].rsplit("/", 1)
     source = spark.readStream.schema(table.schema).option("pathGlobFilter", name if len(files) == 1 else "*.parquet").parquet(place)
-    source = source.withColumn("ts", F.col("ts").cast("timestamp"))
-    first = runs.stream_first_seen(source, "user_id", "ts", "90 days").select("user_id", "event_id")
-    job = first.writeStream.format("parquet").option("path", f"{folder}/out").option("checkpointLocation", f"{folder}/state").trigger(availableNow=True).start()
+    first = runs.stream_first_seen(source.withColumn("ts", F.col("ts").cast("timestamp")), "user_id", "ts", "event_id")
+    write = lambda batch, n: batch.write.mode("overwrite").parquet(f"{folder}/out/batch={n}")
+    job = first.writeStream.outputMode("update").foreachBatch(write).option("checkpointLocation", f"{folder}/state").trigger(availableNow=True).start()
     job.awaitTermination()
-    return spark.read.schema("user_id long, event_id long").parquet(f"{folder}/out").select("user_id")
+    seen = spark.read.schema("user_id long, ts timestamp, event_id long").parquet(f"{folder}/out")
+    return seen.groupBy("user_id").agg(F.min_by("event_id", F.struct("ts", "event_id")).alias("event_id"))
