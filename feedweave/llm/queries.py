@@ -8,8 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-import corpus_pipeline
-from feedweave.llm import ann, bpe_count, chat, decontaminate, html_main, near_dedup, pseudo_lm, secrets, sp_sample, toxicity
+from feedweave.llm import ann, bpe_count, chat, decontaminate, html_main, near_dedup, pipeline, pseudo_lm, secrets, sp_sample, toxicity
 from feedweave.llm.session import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -61,7 +60,7 @@ def op10_leaks(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict[str, Query]:
     found = {k: f for k, f in globals().items() if k.startswith("op") and callable(f)}
-    return found | {"pipeline": corpus_pipeline.run}
+    return found | {"pipeline": pipeline.run}
 
 
 def oracle_sql() -> dict[str, str]:

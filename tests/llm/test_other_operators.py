@@ -320,7 +320,7 @@ def test_registered(spark, name):
 
 def test_pipeline_stages_do_what_they_say(spark):
     import corpus_pipeline as P
-    from feedweave.llm import decontaminate, secrets
+    from feedweave.llm import decontaminate, pipeline, secrets
     from tests.llm.test_text_operators import brute_components
 
     made = spark.read.parquet(f"{SF}/documents.parquet")
@@ -328,7 +328,7 @@ def test_pipeline_stages_do_what_they_say(spark):
     seen = []
     for name, stage in P.STAGES[:-1]:
         before, kept = kept, stage(spark, kept, SF).cache()
-        assert kept.columns == list(P.COLUMNS) and kept.count() <= before.count()
+        assert kept.columns == list(pipeline.COLUMNS) and kept.count() <= before.count()
         seen.append((name, before, kept))
     _, before, after = seen[1]
     rows = sorted((r["doc_id"], r["text"]) for r in before.collect())
@@ -341,3 +341,26 @@ def test_pipeline_stages_do_what_they_say(spark):
     assert gone == {r["doc_id"] for r in seen[2][1].collect() if any(x in r["text"] for x in items)}
     assert seen[3][1].count() == seen[3][2].count() and secrets.scan(seen[3][2]).where("size(secrets) > 0").count() == 0
     assert P.STAGES[-1][1](spark, kept, SF).select("doc_id").distinct().count() == kept.count()
+
+
+def test_pipeline_stages_on_odd_tables(spark, tmp_path):
+    import corpus_pipeline as P
+
+    sf = str(tmp_path)
+    long = " ".join(f"w{i}" for i in range(60_000))
+    item = "alpha beta gamma delta epsilon zeta eta theta"
+    rows = [(1, None, None, None, None), (None, "some words of nobody", "en", "web", 5), (None, "some words of nobody", "en", "web", 5), (2, "", "en", "web", 0), (3, long, "en", "web", 9), (4, long + " end", "en", "web", 9), (5, f"before {item} after", "en", "web", 9), (6, "the password=hunter22 is here", "en", "web", 30), (6, "the password=hunter22 is here", "en", "web", 30), (7, "you idiot moron and loser", "de", None, 1)]
+    docs = spark.createDataFrame([(*r, "x", 1) for r in rows], "doc_id long, text string, lang string, source string, n_chars long, component_id string, kept int")
+    spark.createDataFrame([(7, 1, 1), (None, 0, 1), (3, None, None)], "doc_id long, quality int, toxic int").write.parquet(f"{sf}/labels.parquet")
+    spark.createDataFrame([(1, item), (None, None)], "item_id long, text string").write.parquet(f"{sf}/benchmark.parquet")
+    kept = docs
+    for name, stage in P.STAGES[:-1]:
+        kept = stage(spark, kept, sf).cache()
+        assert kept.columns == ["doc_id", "text", "lang", "source", "n_chars"], name
+    got = kept.collect()
+    assert sorted((r["doc_id"] or 0) for r in got) == [0, 0, 1, 2, 3, 6, 6]
+    assert {r["text"] for r in got if r["doc_id"] == 6} == {"the [assign] is here"} and {r["n_chars"] for r in got if r["doc_id"] == 6} == {20}
+    last = P.STAGES[-1][1](spark, kept, sf).collect()
+    assert len({(r["doc_id"], r["sample"]) for r in last}) == 8 and all(r["round_trip"] for r in last)
+    for name, stage in P.STAGES:
+        assert stage(spark, docs.limit(0), sf).count() == 0, name
