@@ -312,9 +312,13 @@ def _benchmark(spark: SparkSession, sf: str) -> DataFrame:
     return read(spark, sf, "benchmark").select(F.col("item_id").alias("id"), F.col("text").alias("title"), F.lit("").alias("summary"))
 
 
-@query("idf_model", _MODEL + " SELECT trigram, df, round(idf, 6) AS idf FROM m")
+@query(
+    "idf_model",
+    f"WITH d AS (SELECT lower(text) AS t, string_split(lower(text), '') AS c FROM documents WHERE length(text) > 0), g AS (SELECT unnest(list_distinct({_GRAMS_OF_LONG.format('t')})) AS trigram FROM d), f AS (SELECT trigram, count(*) AS df FROM g GROUP BY 1) SELECT trigram, df, round(ln(((SELECT count(*) FROM documents) + 1) / (df + 1)) + 1, 6) AS idf FROM f",
+)
 def idf_model(spark: SparkSession, sf: str) -> DataFrame:
-    return S.model(_benchmark(spark, sf), F.lower).withColumn("idf", F.round("idf", 6))
+    docs = read(spark, sf, "documents").select(F.col("doc_id").alias("id"), F.col("text").alias("title"), F.lit("").alias("summary"))
+    return S.model(docs, F.lower).withColumn("idf", F.round("idf", 6))
 
 
 @query(
@@ -487,11 +491,11 @@ def near_miss_report(spark: SparkSession, sf: str) -> DataFrame:
 
 @query(
     "highlight_parts",
-    """WITH p AS (SELECT item_id, unnest(parts) AS text, unnest(range(1, len(parts) + 1)) AS i FROM (SELECT item_id, string_split(regexp_replace(text, '(?i)(the)', chr(1) || '\\1' || chr(1), 'g'), chr(1)) AS parts FROM benchmark)),
-s AS (SELECT *, CAST(coalesce(sum(length(text)) OVER (PARTITION BY item_id ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS INT) AS start FROM p) SELECT item_id, start, text, i % 2 = 0 AS highlighted FROM s WHERE text <> ''""",
+    """WITH p AS (SELECT doc_id, unnest(parts) AS text, unnest(range(1, len(parts) + 1)) AS i FROM (SELECT doc_id, string_split(regexp_replace(text, '(?i)(the)', chr(1) || '\\1' || chr(1), 'g'), chr(1)) AS parts FROM documents)),
+s AS (SELECT *, CAST(coalesce(sum(length(text)) OVER (PARTITION BY doc_id ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS INT) AS start FROM p) SELECT doc_id, start, text, i % 2 = 0 AS highlighted FROM s WHERE text <> ''""",
 )
 def highlight_parts(spark: SparkSession, sf: str) -> DataFrame:
-    return read(spark, sf, "benchmark").select("item_id", F.explode(X.highlight_parts(F.col("text"), F.lit("the"))).alias("part")).select("item_id", "part.start", "part.text", "part.highlighted")
+    return read(spark, sf, "documents").select("doc_id", F.explode(X.highlight_parts(F.col("text"), F.lit("the"))).alias("part")).select("doc_id", "part.start", "part.text", "part.highlighted")
 
 
 @query(
