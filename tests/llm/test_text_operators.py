@@ -63,6 +63,13 @@ def test_token_counts_are_those_of_the_library(spark):
         assert (got[i]["n_tokens"], got[i]["n_bytes"], got[i]["over_limit"]) == (n, len((t or "").encode()), n > 50)
 
 
+def test_token_counts_of_odd_tables(spark):
+    df = spark.createDataFrame([(None, "a b", 1), (None, None, 2), (4, "word " * 200_000, 3), (4, "word " * 200_000, 3)], "doc_id long, text string, n_tokens int")
+    got = sorted((r["doc_id"] or 0, r["n_bytes"], r["n_tokens"], r["over_limit"]) for r in bpe_count.count_tokens(df, BPE).collect())
+    assert got == [(0, 0, 0, False), (0, 3, 2, False), (4, 1_000_000, 200_001, True), (4, 1_000_000, 200_001, True)]
+    assert bpe_count.count_tokens(df.limit(0), BPE).count() == 0
+
+
 def test_letters_before_spaces_are_a_subset_of_the_patterns():
     import regex
 
