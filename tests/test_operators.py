@@ -195,3 +195,13 @@ def test_local_bodies_and_other_languages():
     assert video_segments("a | b - c//d 1/2", None) == ["a", "b", "c", "d 1", "2"]
     assert multilingual_governance("Korean Football Association faces sanction", None)
     assert multilingual_governance("STY dan KFA: sanksi FIFA", "") and not multilingual_governance("KFA", "sanction") and not multilingual_governance("STY KFA sanksi", "")
+
+
+def test_a_join_without_hot_keys_is_a_left_join(spark):
+    from feedweave.operators.components import spread_join
+
+    many = spark.createDataFrame([("a", i) for i in range(50)] + [("b", 1), (None, 2), ("c", 3)], "k string, n long")
+    one = spark.createDataFrame([("a", "x"), ("b", "y"), ("z", "z")], "k string, v string")
+    got = spread_join(many, one, "k", "n")
+    assert got.columns == ["k", "n", "v"]
+    assert sorted(map(str, got.collect())) == sorted(map(str, many.join(one, "k", "left").collect()))
