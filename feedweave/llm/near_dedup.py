@@ -6,9 +6,10 @@ trying until it finds a full one.  Bands of bins are bucket keys.  Copies of a s
 one node.  Each bucket is joined to one hub only, the member that meets most others
 over all buckets, so a bucket of n nodes has n - 1 candidate pairs and not n^2.  Every
 candidate is confirmed on the full sets.  Nodes that a hub turned down form the bucket
-of the next round, for as long as a round finds links.  Members of a bucket that are in
-different components after that are compared with each other by an exact join on the
-rarest shingles of their sets.
+of the next of STARS rounds.  Members of a bucket that are in different components after
+that, whichever hubs they met, are compared with each other by an exact join on the rarest
+shingles of their sets, so the number of rounds doesn't depend on the data and no link
+between members of a bucket is lost.
 """
 
 from __future__ import annotations
@@ -27,6 +28,8 @@ from feedweave.operators.components import components
 
 BANDS, ROWS = 32, 6
 BINS = BANDS * ROWS
+#: Rounds of stars before the exact join of what they left apart.
+STARS = 2
 _TRIES = 4096
 
 
@@ -199,7 +202,7 @@ def near_duplicates(docs: DataFrame, size: int = 2, threshold: int = 80, key: st
         with_both = with_a.join(sets.select(F.col("id").alias("b"), F.col("words").alias("words_b")), "b").select("a", "b", "words_a", "words_b")
         return cut(_confirm(with_both, threshold).distinct())
 
-    while True:
+    for _ in range(STARS):
         best = F.struct(F.col("met"), (-F.col("node")).alias("order"), F.col("n").alias("hub_n"))
         hubs = open_rows.groupBy("bucket").agg(F.max(best).alias("hub"), F.count("*").alias("members")).where("members > 1")
         starred = open_rows.join(hubs, "bucket").select("bucket", "node", "n", "met", (-F.col("hub.order")).alias("hub"), F.col("hub.hub_n").alias("hub_n"))
