@@ -75,7 +75,7 @@ def signature(hashes: np.ndarray) -> np.ndarray:
     return key
 
 
-def _per_row(docs: DataFrame, size: int, schema: str, make) -> DataFrame:
+def per_row(docs: DataFrame, size: int, schema: str, make) -> DataFrame:
     """`make` of the shingle set of each text, after the id."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -182,7 +182,7 @@ def near_duplicates(docs: DataFrame, size: int = 2, threshold: int = 80, key: st
     1 - (1 - 0.8^6)^32 > 0.9999.
     """
     docs = docs.select(F.col(key).cast("long").alias("id"), F.col(text).alias("text"))
-    signed = cut(_per_row(docs, size, "id long, n long, f1 long, f2 long, bands array<long>", _signed))
+    signed = cut(per_row(docs, size, "id long, n long, f1 long, f2 long, bands array<long>", _signed))
     nodes = signed.where("n > 0 and id is not null").groupBy("n", "f1", "f2").agg(F.min("id").alias("node"), F.any_value("bands").alias("bands"))
     nodes = cut(nodes)
     entries = nodes.select("node", "n", F.explode("bands").alias("bucket"))
@@ -193,7 +193,7 @@ def near_duplicates(docs: DataFrame, size: int = 2, threshold: int = 80, key: st
     # the sets of the nodes that share a bucket, made once for all rounds; the texts are always
     # dealt out by id here, whatever the number of these nodes
     wanted = open_rows.select(F.col("node").alias("id")).distinct().hint("merge")
-    sets = _per_row(docs.join(wanted, "id", "left_semi"), size, "id long, words binary", lambda sets: [pa.array([s.tobytes() for s in sets], pa.binary())])
+    sets = per_row(docs.join(wanted, "id", "left_semi"), size, "id long, words binary", lambda sets: [pa.array([s.tobytes() for s in sets], pa.binary())])
     sets = cut(sets.where("length(words) > 0"))
     links = labels = first = None
 

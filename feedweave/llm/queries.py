@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from feedweave.llm import ann, bpe_count, chat, decontaminate, html_main, near_dedup, pipeline, pseudo_lm, secrets, sp_sample, toxicity
+from feedweave.llm import ann, bpe_count, chat, decontaminate, filter_audit, html_main, near_dedup, ngram_join, pipeline, prefix_trie, pseudo_lm, secrets, sp_sample, toxicity
 from feedweave.llm.session import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -58,10 +58,22 @@ def op10_leaks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.leaks(table(spark, sf_dir, "documents", "doc_id", "text"), table(spark, sf_dir, "benchmark", "item_id", "text"))
 
 
+def op11_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_join.similar(table(spark, sf_dir, "documents", "doc_id", "text"))
+
+
+def op12_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return filter_audit.audit(table(spark, sf_dir, "documents", "doc_id", "text", "lang"), table(spark, sf_dir, "labels", "doc_id", "quality", "toxic"))
+
+
+def op13_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return prefix_trie.trie(table(spark, sf_dir, "conversations", "conv_id", "turn", "role", "text"))
+
+
 def queries() -> dict[str, Query]:
     found = {k: f for k, f in globals().items() if k.startswith("op") and callable(f)}
     return found | {"pipeline": pipeline.run}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_secrets": secrets.ORACLE, "op4_chat": chat.ORACLE, "op8_near_duplicates": near_dedup.ORACLE}
+    return {"op2_secrets": secrets.ORACLE, "op4_chat": chat.ORACLE, "op8_near_duplicates": near_dedup.ORACLE, "op11_ngram_join": ngram_join.ORACLE, "op12_filter_audit": filter_audit.ORACLE, "op13_prefix_trie": prefix_trie.ORACLE}
