@@ -2,10 +2,10 @@
 
 Documents with equal sets are one class.  The join works on classes:
 
-1. A class is at a distance above the threshold from all others, and leaves, unless it shares
-   a shingle of its prefix (by hash, then by rarity) with another class: two sets whose
-   similarity is at least t have one of the first n - ceil(t n) + 1 shingles of each, in any
-   order common to both, in common.
+1. Two sets whose similarity is at least t have k of the first n - ceil(t n) + k shingles of
+   each in common, in any order that holds for both.  A class is at a larger distance from all
+   others, and leaves, unless it shares k = 1 + n / 20 of its prefix by hash with any, and then
+   t n shingles in all and one of its prefix by rarity.
 2. Each shared prefix shingle elects a pivot among the classes that hold it and are of about
    the same size.  A class is a member of the region of every pivot that it meets in this way,
    so that the ends of each link are in one region at least.
@@ -48,7 +48,7 @@ _ROW = "region long, path long, cid long, n long, copies long, own boolean, inne
 
 def _prefixed(threshold: int):
     def make(sets: list[np.ndarray]) -> list[pa.Array]:
-        prefix = [s[: len(s) - -(-threshold * len(s) // 100) + 1].view(np.int64) if len(s) else None for s in sets]
+        prefix = [s[: len(s) - -(-threshold * len(s) // 100) + 1 + len(s) // 20].view(np.int64) if len(s) else None for s in sets]
         return [pa.array([len(s) for s in sets], pa.int64()), pa.array(_class_ids(sets), pa.int64()), pa.array(prefix, pa.list_(pa.int64()))]
 
     return make
@@ -65,15 +65,15 @@ def _with_words(sets: list[np.ndarray]) -> list[pa.Array]:
 
 
 def _shingle_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(cid, n, shingle) of the rows (cid, n, words), some half a million at a time."""
+    """(cid, shingle) of the rows (cid, n, words), some half a million at a time."""
     for batch in batches:
         sets = _sets(batch.column(2))
         ids, n = (batch.column(k).to_numpy() for k in (0, 1))
         ends, low = np.cumsum(n), 0
         while low < len(sets):
             high = max(low + 1, int(np.searchsorted(ends, ends[low] - n[low] + 500_000, "right")))
-            columns = [np.repeat(ids[low:high], n[low:high]), np.repeat(n[low:high], n[low:high]), np.concatenate(sets[low:high]).view(np.int64)]
-            yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], ["cid", "n", "shingle"])
+            columns = [np.repeat(ids[low:high], n[low:high]), np.concatenate(sets[low:high]).view(np.int64)]
+            yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], ["cid", "shingle"])
             low = high
 
 
@@ -248,16 +248,22 @@ def similar(docs: DataFrame, size: int = 4, threshold: int = 85, key: str = "doc
     spark, t = docs.sparkSession, threshold
     places = int(spark.conf.get("spark.sql.shuffle.partitions"))
     signed = cut(per_row(docs, size, "id long, n long, cid long, prefix array<long>", _prefixed(t)))
-    classes = cut(signed.where("n > 0 and id is not null").groupBy("cid", "n").agg(F.min("id").alias("id"), F.count("*").alias("copies"), F.any_value("prefix").alias("prefix")))
-    entries = classes.select("cid", F.explode("prefix").alias("shingle"))
+    known = signed.where("n > 0 and id is not null").groupBy("cid", "n").agg(F.min("id").alias("id"), F.count("*").alias("copies"), F.any_value("prefix").alias("prefix"))
+    entries = known.select("cid", F.explode("prefix").alias("shingle"))
     shared = entries.groupBy("shingle").agg(F.count("*").alias("held")).where("held > 1").select("shingle")
-    wanted = cut(classes.join(entries.join(shared, "shingle").select("cid").distinct(), "cid", "left_semi").select("cid", "id", "copies"))
+    sharing, classes = cut(entries.join(shared, "shingle").groupBy("cid").agg(F.count("*").alias("sharing"))), cut(known.drop("prefix"))
+    signed = cut(signed.drop("prefix"))
+    del known, entries, shared
+    release(spark)
+    wanted = cut(classes.join(sharing, "cid").where("sharing > n div 20").select("cid", "id", "n", "copies"))
     # sets of the classes that may have partners; texts are dealt out by id, whatever their number
     texts = docs.join(wanted.select("id").distinct().hint("merge"), "id", "left_semi")
     sets = per_row(texts, size, "id long, cid long, n long, words binary", _with_words)
-    sets = cut(sets.join(wanted.select("cid", "copies"), "cid").dropDuplicates(["cid"]).select("cid", "n", "copies", "words"))
-    rows = sets.select("cid", "n", "words").mapInArrow(_shingle_rows, "cid long, n long, shingle long")
-    rows = rows.join(rows.groupBy("shingle").agg(F.count("*").alias("held")).where("held > 1"), "shingle")
+    sets = cut(sets.drop("n").join(wanted.drop("id"), "cid").dropDuplicates(["cid"]).select("cid", "n", "copies", "words"))
+    del texts
+    release(spark)
+    rows = sets.select("cid", "n", "words").mapInArrow(_shingle_rows, "cid long, shingle long")
+    rows = rows.join(rows.groupBy("shingle").agg(F.count("*").alias("held")).where("held > 1"), "shingle").join(wanted.select("cid", "n"), "cid")
     by_set = Window.partitionBy("cid", "n")
     rows = rows.withColumn("sharing", F.count("*").over(by_set)).withColumn("place", F.col("n") - F.col("sharing") + F.row_number().over(by_set.orderBy("held", "shingle")))
     rows = rows.where(f"100 * sharing >= {t} * n and place <= n - ({t} * n + 99) div 100 + 1")

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import gc
+import time
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -21,8 +22,10 @@ def small_batches(spark: SparkSession) -> None:
 
 def release(spark: SparkSession) -> None:
     """Collect the driver's garbage now: Spark deletes the files of shuffles and checkpoints
-    that nothing refers to only when the driver's JVM has collected them."""
+    that nothing refers to only when the driver's JVM has collected them.  The JVM hears from
+    a thread of Python's what Python has let go, so that gets a moment first."""
     gc.collect()
+    time.sleep(0.5)
     spark.sparkContext._jvm.System.gc()
 
 
