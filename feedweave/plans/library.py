@@ -83,13 +83,6 @@ def revision_projection(spark: SparkSession, sf: str) -> DataFrame:
     return I.revision_items(document_rows(spark, sf)).select("id", F.md5("summary").alias("summary"), F.get("labels", 1).alias("label"), F.col("youtube").isNotNull().alias("video"))
 
 
-@query("scoped_classification", "SELECT event_id, event_type AS tag, CAST(0 AS INT) + CAST(floor(value) AS INT) AS score FROM events")
-def scoped_classification(spark: SparkSession, sf: str) -> DataFrame:
-    none = F.lit(None).cast("array<string>")
-    found = F.struct(F.array("event_type").alias("titleIssueTags"), none.alias("titlePersonTags"), none.alias("matchedKeywords"), none.alias("labels"), F.floor("value").cast("int").alias("titleRelevanceScore"))
-    return read(spark, sf, "events").withColumn("c", A.scoped(found, "title")).select("event_id", F.get("c.issueTags", 0).alias("tag"), F.col("c.relevanceScore").alias("score"))
-
-
 @query("thumbnail_choice", "SELECT p_partkey, CASE WHEN p_size % 3 = 0 THEN 'h' WHEN p_size % 3 = 1 THEN 'm' ELSE 'x' END AS url, CASE WHEN p_size % 3 = 0 THEN 480 ELSE p_size END AS width FROM part")
 def thumbnail_choice(spark: SparkSession, sf: str) -> DataFrame:
     image = lambda u, w: F.struct(F.lit(u).alias("url"), w.cast("int").alias("width"), F.lit(10).alias("height"))
@@ -329,10 +322,24 @@ SELECT doc_id, CAST(6 * org::INT + 4 * terms::INT + 3 * person::INT + 2 * least(
 )
 def classified_documents(spark: SparkSession, sf: str) -> DataFrame:
     rows = read(spark, sf, "documents").select("doc_id", F.lit("").alias("title"), F.col("text").alias("summary"), F.lit(False).alias("isOfficial"))
-    got = A.classified(rows, _RULES, [_ISSUES[0]], _PEOPLE).select("doc_id", "classification.*")
+    got = A.classified(rows, lambda: A.Classifier(_RULES, [_ISSUES[0]], _PEOPLE)).select("doc_id", "classification.*")
     return got.select("doc_id", F.col("relevanceScore").alias("score"), F.array_contains("issueTags", "terms").alias("terms"), F.array_contains("personTags", "p").alias("person"), F.array_contains("labels", "an insult").alias("labelled"))
 
 
+@query(
+    "scoped_classification",
+    """WITH t AS (SELECT doc_id, lower(source) AS a, lower(text) AS b FROM documents)
+SELECT doc_id, contains(b, 'apache') OR contains(b, 'warranty') AS terms, contains(b, 'moron') AS person, CAST(0 AS INT) AS title_words,
+  CAST(6 * contains(b, 'license')::INT + 4 * (contains(b, 'apache') OR contains(b, 'warranty'))::INT + 3 * contains(b, 'moron')::INT + 2 * least(2, contains(b, 'idiot')::INT + contains(b, 'stupid')::INT + contains(b, 'version')::INT) AS INT) AS score FROM t""",
+)
+def scoped_classification(spark: SparkSession, sf: str) -> DataFrame:
+    """What the classifier finds in documents under the name of their source, seen by one field."""
+    rows = read(spark, sf, "documents").select("doc_id", F.col("source").alias("title"), F.col("text").alias("summary"), F.lit(True).alias("isOfficial"))
+    got = A.classified(rows, lambda: A.Classifier(_RULES, [_ISSUES[0]], _PEOPLE))
+    title, summary = A.scoped("classification", "title"), A.scoped("classification", "summary")
+    return got.select("doc_id", F.array_contains(summary["issueTags"], "terms").alias("terms"), F.array_contains(summary["personTags"], "p").alias("person"), F.size(title["matchedKeywords"]).alias("title_words"), summary["relevanceScore"].alias("score"))
+
+
 # Pages, sources and sinks
 
 
