@@ -5,46 +5,33 @@ bins, gives the signature; an empty bin borrows from a bin that a second hash na
 trying until it finds a full one.  Bands of bins are bucket keys.  Copies of a set are
 one node.  Each bucket is joined to one hub only, the member that meets most others
 over all buckets, so a bucket of n nodes has n - 1 candidate pairs and not n^2.  Every
-candidate is confirmed on the full sets.  Nodes that a hub turned down form the bucket
-of the next of STARS rounds.  Members of a bucket that are in different components after
-that, whichever hubs they met, are compared with each other by an exact join on the rarest
-shingles of their sets, so the number of rounds doesn't depend on the data and no link
-between members of a bucket is lost.
+candidate is confirmed on the full sets.  Members of a bucket that are in different
+components after that, whichever hubs they met, are compared with each other by the exact
+join of llm.ngram_join, so no link between members of a bucket is lost.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
 from functools import lru_cache
+from math import log
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from feedweave.llm import text as tx
+from feedweave.llm.ngram_join import linked
 from feedweave.llm.session import cut, release
+from feedweave.llm.shingles import per_row
 from feedweave.operators.components import components
 
 BANDS, ROWS = 32, 6
 BINS = BANDS * ROWS
-#: Rounds of stars before the exact join of what they left apart.
-STARS = 2
 _TRIES = 4096
 
 
-def shingles(hashes: np.ndarray, size: int) -> np.ndarray:
-    """Sorted distinct hashes of the shingles of a text's words; with fewer words, of all as one."""
-    n = len(hashes)
-    if not n:
-        return hashes
-    width = min(size, n)
-    out = tx.mix(hashes[: n - width + 1] + np.uint64(width))
-    for k in range(1, width):
-        out = tx.pair(out, hashes[k : n - width + 1 + k])
-    return np.unique(out)
-
-
 @lru_cache(maxsize=1)
 def _tables() -> tuple[np.ndarray, np.ndarray]:
     """Least hash of each bin, and the bins that an empty bin tries in turn."""
@@ -75,21 +62,6 @@ def signature(hashes: np.ndarray) -> np.ndarray:
     return key
 
 
-def per_row(docs: DataFrame, size: int, schema: str, make) -> DataFrame:
-    """`make` of the shingle set of each text, after the id."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            data, offsets = tx.buffers(batch.column(1))
-            for low, high in tx.slices(offsets):
-                w = tx.words(data, offsets[low : high + 1])
-                sets = [shingles(w.hashes[a:b], size) for a, b in zip(w.bounds[:-1], w.bounds[1:], strict=True)]
-                columns = make(sets)
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(low, high - low), *columns], [str(i) for i in range(len(columns) + 1)])
-
-    return docs.mapInArrow(run, schema)
-
-
 def _signed(sets: list[np.ndarray]) -> list[pa.Array]:
     one, two = np.uint64(0x5851F42D4C957F2D), np.uint64(0x14057B7EF767814F)
     sums = [(tx.mix(s ^ one).sum(), tx.mix(s ^ two).sum()) for s in sets]
@@ -115,59 +87,14 @@ def _confirm(pairs: DataFrame, threshold: int) -> DataFrame:
     return pairs.mapInArrow(run, "a long, b long")
 
 
-def _listed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(node, print, component, n, shingle): a row for each shingle of each set.  The print
-    tells apart the sets of rows with the same key."""
-    for batch in batches:
-        sets = [np.frombuffer(x.as_buffer(), np.int64) for x in batch.column(2)]
-        n = np.array([len(s) for s in sets], np.int64)
-        ends = np.cumsum(n)
-        low = 0
-        while low < len(sets):  # about half a million rows at once
-            high = max(low + 1, int(np.searchsorted(ends, ends[low] - n[low] + 500_000, "right")))
-            prints = np.array([np.bitwise_xor.reduce(s) for s in sets[low:high]], np.int64)
-            nodes, labels = (batch.column(k).slice(low, high - low).to_numpy() for k in (0, 1))
-            columns = [np.repeat(c, n[low:high]) for c in (nodes, prints, labels, n[low:high])]
-            columns.append(np.concatenate(sets[low:high]))
-            yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], ["node", "print", "component", "n", "shingle"])
-            low = high
-
-
 def _across(sets: DataFrame, members: DataFrame, threshold: int) -> DataFrame:
-    """Pairs (a, b) of `members` (node, component) in different components, among them all
-    whose sets have 100 * intersection >= threshold * union.
-
-    Shingles are ordered by the number of sets that hold them, those of one component
-    first.  The first shingle that two such sets a and b, n_a <= n_b, have in common is among
-    the first n_a - ceil(2t / (1 + t) * n_a) + 1 of a and the first n_b - ceil(t * n_b) + 1
-    of b, and what follows it in both has to suffice.  A passage that many sets share comes
-    last in this order, so it brings together only what is alike without it.
-    """
-    t = threshold
-    own = cut(sets.join(members, sets["id"] == members["node"]).select("node", "component", "words").distinct())
-    rows = own.mapInArrow(_listed, "node long, print long, component long, n long, shingle long")
-    held = rows.groupBy("shingle").agg(F.count("*").alias("held"), F.min("component").alias("low"), F.max("component").alias("high"))
-    rows = rows.join(held.where("low <> high").select("shingle", "held"), "shingle")
-    by_set = Window.partitionBy("node", "print", "n")
-    rows = rows.withColumn("place", F.col("n") - F.count("*").over(by_set) + F.row_number().over(by_set.orderBy("held", "shingle")))
-    rows = cut(rows.where(f"place <= n - ({t} * n + 99) div 100 + 1").select("shingle", "component", "node", "n", (F.col("n") - F.col("place")).alias("rest")))
-    release(rows.sparkSession)
-    short = rows.where(f"n - rest <= n - ({2 * t} * n + {99 + t}) div {100 + t} + 1")
-
-    def named(df: DataFrame, side: str) -> DataFrame:
-        return df.select("shingle", *[F.col(c).alias(f"{c}_{side}") for c in df.columns if c != "shingle"])
-
-    def groups(df: DataFrame) -> DataFrame:
-        return df.groupBy("shingle", "component").agg(F.min("n").alias("least"), F.max("n").alias("most"), F.max("rest").alias("rest"))
-
-    # components first, so that a large one is not joined with itself
-    meet = named(groups(short), "a").join(named(groups(rows), "b"), "shingle").where(
-        f"component_a <> component_b and least_a <= most_b and 100 * most_a >= {t} * least_b and {100 + t} * (1 + least(rest_a, rest_b)) >= {t} * (least_a + least_b)"
-    )
-    meet = meet.select("shingle", "component_a", "component_b")
-    pairs = meet.join(named(short, "a"), ["shingle", "component_a"]).join(named(rows, "b"), ["shingle", "component_b"])
-    pairs = pairs.where(f"n_a <= n_b and 100 * n_a >= {t} * n_b and {100 + t} * (1 + least(rest_a, rest_b)) >= {t} * (n_a + n_b)")
-    return pairs.select(F.least("node_a", "node_b").alias("a"), F.greatest("node_a", "node_b").alias("b")).distinct()
+    """All pairs (a, b) of `members` (node) with 100 * intersection >= threshold * union, or a forest over
+    them: the exact join by pivots' regions of llm.ngram_join, which lists no pairs."""
+    own = cut(sets.join(members, sets["id"] == members["node"], "left_semi").distinct().withColumn("cid", F.xxhash64("id", "words")))
+    rows = own.select("cid", F.expr("length(words) div 8").cast("long").alias("n"), F.lit(1).cast("long").alias("copies"), "words")
+    edges = linked(rows, threshold).where("b is not null").select("a", "b")
+    name = lambda side: own.select(F.col("cid").alias(side), F.col("id").alias(f"{side}_id"))
+    return edges.join(name("a"), "a").join(name("b"), "b").select(F.col("a_id").alias("a"), F.col("b_id").alias("b")).where("a <> b")
 
 
 def near_duplicates(docs: DataFrame, size: int = 2, threshold: int = 80, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -195,42 +122,32 @@ def near_duplicates(docs: DataFrame, size: int = 2, threshold: int = 80, key: st
     wanted = open_rows.select(F.col("node").alias("id")).distinct().hint("merge")
     sets = per_row(docs.join(wanted, "id", "left_semi"), size, "id long, words binary", lambda sets: [pa.array([s.tobytes() for s in sets], pa.binary())])
     sets = cut(sets.where("length(words) > 0"))
-    links = labels = first = None
+    links = labels = None
 
     def confirmed(pairs: DataFrame) -> DataFrame:
         with_a = pairs.join(sets.select(F.col("id").alias("a"), F.col("words").alias("words_a")), "a")
         with_both = with_a.join(sets.select(F.col("id").alias("b"), F.col("words").alias("words_b")), "b").select("a", "b", "words_a", "words_b")
         return cut(_confirm(with_both, threshold).distinct())
 
-    for _ in range(STARS):
-        best = F.struct(F.col("met"), (-F.col("node")).alias("order"), F.col("n").alias("hub_n"))
-        hubs = open_rows.groupBy("bucket").agg(F.max(best).alias("hub"), F.count("*").alias("members")).where("members > 1")
-        starred = open_rows.join(hubs, "bucket").select("bucket", "node", "n", "met", (-F.col("hub.order")).alias("hub"), F.col("hub.hub_n").alias("hub_n"))
-        if first is None:  # every node of a bucket has been compared with its first hub
-            first = starred.where("node <> hub").select("bucket", "node")
-        pairs = starred.where(f"node <> hub and 100 * least(n, hub_n) >= {threshold} * greatest(n, hub_n)").select(F.col("node").alias("a"), F.col("hub").alias("b"))
-        pairs = pairs.distinct()
-        if links is not None:  # later rounds need not test what is known
-            pairs = pairs.join(links.unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b"))), ["a", "b"], "left_anti")
-        pairs = cut(pairs)
-        if pairs.isEmpty():
-            break
-        found = confirmed(pairs)
-        if found.isEmpty():
-            break
-        links = found if links is None else links.unionByName(found)
-        labels = components(links)
-        named = starred.join(labels, "node", "left").withColumn("component", F.coalesce("component", "node"))
-        named = named.join(labels.select(F.col("node").alias("hub"), F.col("component").alias("hub_component")), "hub", "left")
-        open_rows = cut(named.where("component <> coalesce(hub_component, hub) and node <> hub").select("bucket", "node", "n", "met"))
+    # stars: every node of a bucket is compared with the bucket's hub
+    best = F.struct(F.col("met"), (-F.col("node")).alias("order"), F.col("n").alias("hub_n"))
+    hubs = open_rows.groupBy("bucket").agg(F.max(best).alias("hub"))
+    starred = open_rows.join(hubs, "bucket").select("bucket", "node", "n", (-F.col("hub.order")).alias("hub"), F.col("hub.hub_n").alias("hub_n"))
+    pairs = cut(starred.where(f"node <> hub and 100 * least(n, hub_n) >= {threshold} * greatest(n, hub_n)").select(F.col("node").alias("a"), F.col("hub").alias("b")).distinct())
+    if not pairs.isEmpty():
+        links = confirmed(pairs)
+        labels = None if links.isEmpty() else components(links)
         release(docs.sparkSession)
-    known = first.withColumn("component", F.col("node")) if labels is None else first.join(labels, "node", "left").withColumn("component", F.coalesce("component", "node"))
-    parted = known.groupBy("bucket").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low <> high")
-    members = cut(known.join(parted, "bucket", "left_semi").select("node", "component").distinct())
+    own_label = F.col("node") if labels is None else F.coalesce("component", "node")
+    known = (open_rows if labels is None else open_rows.join(labels, "node", "left")).select("bucket", "node", "n", own_label.alias("component"))
+    # members of a bucket that are of like size and in different components
+    step = max(log(100 / threshold) * (1 + 1e-9), 1e-6)
+    sized = known.withColumn("size", F.floor(F.log("n") / step)).withColumn("size", F.explode(F.array("size", F.col("size") + 1)))
+    parted = sized.groupBy("bucket", "size").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low <> high")
+    members = cut(sized.join(parted, ["bucket", "size"], "left_semi").select("node").distinct())
     if not members.isEmpty():
-        pairs = cut(_across(sets, members, threshold))
+        found = cut(_across(sets, members, threshold))
         release(docs.sparkSession)
-        found = confirmed(pairs)
         if not found.isEmpty():
             links = found if links is None else links.unionByName(found)
             labels = components(links)

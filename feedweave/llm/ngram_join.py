@@ -34,8 +34,8 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from feedweave.llm import text as tx
-from feedweave.llm.near_dedup import per_row
 from feedweave.llm.session import cut, release
+from feedweave.llm.shingles import per_row
 from feedweave.operators.components import components
 
 #: Members, and shingles of all members, of one leaf or block.
@@ -234,6 +234,32 @@ def _divided(rows: DataFrame, threshold: int, leaf: int, places: int) -> DataFra
     return out.repartition(places, "region", "path", "i", "j").sortWithinPartitions("region", "path", "i", "j")
 
 
+def linked(sets: DataFrame, threshold: int, leaf: int = LEAF) -> DataFrame:
+    """(a, b, links) of sets (cid, n, copies, words), whose cids are distinct: rows with b null hold the
+    number of rows that a is linked with, other than its own; the others are edges that connect all
+    that links connect."""
+    spark, t = sets.sparkSession, threshold
+    places = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    rows = sets.select("cid", "n", "words").mapInArrow(_shingle_rows, "cid long, shingle long")
+    rows = rows.join(rows.groupBy("shingle").agg(F.count("*").alias("held")).where("held > 1"), "shingle").join(sets.select("cid", "n"), "cid")
+    by_set = Window.partitionBy("cid", "n")
+    rows = rows.withColumn("sharing", F.count("*").over(by_set)).withColumn("place", F.col("n") - F.col("sharing") + F.row_number().over(by_set.orderBy("held", "shingle")))
+    rows = rows.where(f"100 * sharing >= {t} * n and place <= n - ({t} * n + 99) div 100 + 1")
+    # linked sets differ by one size class at most
+    step = max(log(100 / t) * (1 + 1e-9), 1e-6)
+    rows = cut(rows.select("shingle", "cid", F.floor(F.log("n") / step).cast("int").alias("class")))
+    release(spark)
+    rows = rows.withColumn("size", F.explode(F.array(F.col("class"), F.col("class") + 1))).withColumn("own", F.col("class") == F.col("size"))
+    pivots = rows.groupBy("shingle", "size").agg(F.min("cid").alias("pivot"), F.count("*").alias("held"), F.max("own").alias("any")).where("held > 1 and any")
+    met = cut(rows.join(pivots, ["shingle", "size"]).select("cid", "size", "own", F.xxhash64("pivot", "size").alias("region")).distinct())
+    mine = met.groupBy("cid", "size").agg(F.collect_list("region").alias("mine"))
+    members = met.join(mine, ["cid", "size"]).join(sets, "cid")
+    members = members.select("region", F.lit(0).cast("long").alias("path"), "cid", "n", "copies", "own", F.lit(True).alias("inner"), "mine", "words")
+    found = cut(_divided(members, t, leaf, places).mapInArrow(_leaves(t), "a long, b long, links long"))
+    release(spark)
+    return found
+
+
 def similar(docs: DataFrame, size: int = 4, threshold: int = 85, key: str = "doc_id", text: str = "text", leaf: int = LEAF) -> DataFrame:
     """(key, n_shingles, component_id, n_links) of each row of `docs`.
 
@@ -246,7 +272,6 @@ def similar(docs: DataFrame, size: int = 4, threshold: int = 85, key: str = "doc
     """
     docs = docs.select(F.col(key).cast("long").alias("id"), F.col(text).alias("text"))
     spark, t = docs.sparkSession, threshold
-    places = int(spark.conf.get("spark.sql.shuffle.partitions"))
     signed = cut(per_row(docs, size, "id long, n long, cid long, prefix array<long>", _prefixed(t)))
     known = signed.where("n > 0 and id is not null").groupBy("cid", "n").agg(F.min("id").alias("id"), F.count("*").alias("copies"), F.any_value("prefix").alias("prefix"))
     entries = known.select("cid", F.explode("prefix").alias("shingle"))
@@ -262,23 +287,7 @@ def similar(docs: DataFrame, size: int = 4, threshold: int = 85, key: str = "doc
     sets = cut(sets.drop("n").join(wanted.drop("id"), "cid").dropDuplicates(["cid"]).select("cid", "n", "copies", "words"))
     del texts
     release(spark)
-    rows = sets.select("cid", "n", "words").mapInArrow(_shingle_rows, "cid long, shingle long")
-    rows = rows.join(rows.groupBy("shingle").agg(F.count("*").alias("held")).where("held > 1"), "shingle").join(wanted.select("cid", "n"), "cid")
-    by_set = Window.partitionBy("cid", "n")
-    rows = rows.withColumn("sharing", F.count("*").over(by_set)).withColumn("place", F.col("n") - F.col("sharing") + F.row_number().over(by_set.orderBy("held", "shingle")))
-    rows = rows.where(f"100 * sharing >= {t} * n and place <= n - ({t} * n + 99) div 100 + 1")
-    # linked sets differ by one size class at most
-    step = max(log(100 / t) * (1 + 1e-9), 1e-6)
-    rows = cut(rows.select("shingle", "cid", F.floor(F.log("n") / step).cast("int").alias("class")))
-    release(spark)
-    rows = rows.withColumn("size", F.explode(F.array(F.col("class"), F.col("class") + 1))).withColumn("own", F.col("class") == F.col("size"))
-    pivots = rows.groupBy("shingle", "size").agg(F.min("cid").alias("pivot"), F.count("*").alias("held"), F.max("own").alias("any")).where("held > 1 and any")
-    met = cut(rows.join(pivots, ["shingle", "size"]).select("cid", "size", "own", F.xxhash64("pivot", "size").alias("region")).distinct())
-    mine = met.groupBy("cid", "size").agg(F.collect_list("region").alias("mine"))
-    members = met.join(mine, ["cid", "size"]).join(sets, "cid")
-    members = members.select("region", F.lit(0).cast("long").alias("path"), "cid", "n", "copies", "own", F.lit(True).alias("inner"), "mine", "words")
-    found = cut(_divided(members, t, leaf, places).mapInArrow(_leaves(t), "a long, b long, links long"))
-    release(spark)
+    found = linked(sets, t, leaf)
     counts = found.where("b is null").groupBy(F.col("a").alias("cid")).agg(F.sum("links").alias("links"))
     labels = components(found.where("b is not null").select("a", "b"))
     named = classes.select("cid", "id", "copies").join(labels.withColumnRenamed("node", "cid"), "cid", "left").withColumn("component", F.coalesce("component", "cid"))

@@ -51,10 +51,10 @@ def text_cues(spark: SparkSession, sf: str) -> DataFrame:
     "ruled_documents",
     f"""WITH s AS (SELECT doc_id, text, {_CUT} AS s FROM documents),
 h AS (SELECT doc_id, regexp_matches(text, '{_SQL_CUES["insult"]}') AS insult, regexp_matches(text, '{_SQL_CUES["license_then_tion"]}') AS terms,
-  len(list_filter(s, lambda x: regexp_matches(x, '{_SQL_CUES["license"]}') AND regexp_matches(x, '{_SQL_CUES["joined"]}'))) > 0 AS both,
+  len(list_filter(s, lambda x: regexp_matches(x, '{_SQL_CUES["license"]}') AND regexp_matches(x, '{_SQL_CUES["joined"]}'))) > 0 AS same,
   len(list_filter(s, lambda x: regexp_matches(x, '{_SQL_CUES["joined_near_small"]}') AND NOT regexp_matches(x, '(?i)tion'))) > 0 AS plain FROM s)
-SELECT doc_id, CASE WHEN insult AND NOT terms THEN 'insult' WHEN both THEN 'terms' WHEN plain THEN 'plain' ELSE 'none' END AS rule,
-  CASE WHEN insult AND NOT terms THEN 'reject' WHEN both THEN 'primary' WHEN plain THEN 'secondary' ELSE 'reject' END AS tier FROM h""",
+SELECT doc_id, CASE WHEN insult AND NOT terms THEN 'insult' WHEN same THEN 'terms' WHEN plain THEN 'plain' ELSE 'none' END AS rule,
+  CASE WHEN insult AND NOT terms THEN 'reject' WHEN same THEN 'primary' WHEN plain THEN 'secondary' ELSE 'reject' END AS tier FROM h""",
 )
 def ruled_documents(spark: SparkSession, sf: str) -> DataFrame:
     rules = [

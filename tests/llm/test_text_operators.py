@@ -14,6 +14,7 @@ from pyspark.sql import functions as sf
 
 from feedweave.llm import bpe_count, decontaminate, near_dedup, pseudo_lm, secrets, sp_sample, toxicity
 from feedweave.llm import text as tx
+from feedweave.llm.shingles import shingles
 
 public_tokenizers = pytest.importorskip("public_tokenizers")
 BPE, PIECES = public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("piece_bpe_32k.model")
@@ -543,7 +544,7 @@ def test_near_duplicates_that_meet_only_under_a_hub_of_one_of_them(spark):
 
     def bands(words):
         w = tx.words(*tx.buffers(pa.array([" ".join(words)])))
-        return near_dedup.signature(near_dedup.shingles(w.hashes, 2))
+        return near_dedup.signature(shingles(w.hashes, 2))
 
     while True:
         popular = [f"h{rng.randrange(10**9)}" for _ in range(121)]
