@@ -3,7 +3,7 @@
 import duckdb
 import pytest
 
-from feedweave.plans import catalogue, feed, gate, library  # noqa: F401
+from feedweave.plans import catalogue, feed, gate, library, sources  # noqa: F401
 
 SF = "/root/testdata/sf0.001"
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
