@@ -251,7 +251,10 @@ def near_misses(items: DataFrame, clusters: DataFrame, least: float = 0.45, limi
     scored = compare(near, rows.select("id", "title", "summary"), cut(model(rows)))
     sides = [rows.drop("title", "summary").withColumnRenamed("id", f"{x}_id").alias(x) for x in ("l", "r")]
     scored = scored.join(sides[0], F.col("a") == F.col("l_id")).join(sides[1], F.col("b") == F.col("r_id"))
-    member = clusters.select("id", F.explode("memberIds").alias("m"))
-    together = member.alias("p").join(member.alias("q"), "id").select(F.col("p.m").alias("a"), F.col("q.m").alias("b")).where("a < b")
-    missed = scored.where((F.col("title_sim") >= least) & ~news_match()).join(together, ["a", "b"], "left_anti")
-    return missed.orderBy(F.desc("title_sim"), F.desc("summary_sim"), "a").limit(limit).select("a", "b", "title_sim", "summary_sim", "combined")
+    # stories share no members, so the story of either end tells whether both are in one
+    member = clusters.select(F.explode("memberIds").alias("m"), F.col("id").alias("story"))
+    missed = scored.where((F.col("title_sim") >= least) & ~news_match())
+    for end in ("a", "b"):
+        missed = missed.join(member.select(F.col("m").alias(end), F.col("story").alias(f"story_{end}")), end, "left")
+    missed = missed.where(~F.coalesce(F.col("story_a") == F.col("story_b"), F.lit(False)))
+    return missed.orderBy(F.desc("title_sim"), F.desc("summary_sim"), "a", "b").limit(limit).select("a", "b", "title_sim", "summary_sim", "combined")

@@ -367,6 +367,24 @@ def versions_round_trip(spark: SparkSession, sf: str) -> DataFrame:
     return rows.groupBy("shard_date").agg(F.count("*").alias("n"), F.sum("relevanceScore").alias("score"))
 
 
+@query(
+    "history_scan",
+    DI + """, v AS (SELECT 1 AS version, id, iso, doc_id % 79 = 0 AS undated, doc_id, 0 AS score FROM di WHERE doc_id % 3 = 0
+UNION ALL SELECT 2, id, iso, doc_id % 79 = 0, doc_id, 10 FROM di WHERE doc_id % 2 = 0 AND doc_id % 600 < 300 UNION ALL SELECT 2, id, iso, doc_id % 79 = 0, doc_id, 0 FROM di WHERE doc_id % 3 = 0 AND doc_id % 600 >= 300
+UNION ALL SELECT 3, id, iso, doc_id % 79 = 0, doc_id, 0 FROM di WHERE doc_id % 3 = 0 AND doc_id % 600 >= 300),
+r AS (SELECT *, row_number() OVER (PARTITION BY id ORDER BY undated, version DESC) AS n FROM v) SELECT id, CAST(score AS INT) AS score FROM r WHERE n = 1""",
+)
+def history_scan(spark: SparkSession, sf: str) -> DataFrame:
+    """Three versions of the documents as items: the second changes some days, the third drops those."""
+    root, n = f"{shared_folder(spark)}/items", F.substring("id", 2, 20).cast("long")
+    items, early = document_rows(spark, sf).withColumn("relevanceScore", F.lit(0)), n % 600 < 300
+    third = items.where(n % 3 == 0)
+    P.write_shards(third, root)
+    P.write_shards(items.where((n % 2 == 0) & early).withColumn("relevanceScore", F.lit(10)).unionByName(third.where(~early)), root)
+    P.write_shards(third.where(~early), root)
+    return P.first_seen(spark, root).select("id", F.col("relevanceScore").alias("score"))
+
+
 @query(
     "landed_news",
     r"""SELECT source AS query, trim(regexp_replace(regexp_replace(text, '<[^>]*>', '', 'g'), '\s+', ' ', 'g')) AS title, 'https://example.com/' || doc_id AS original, 1700000000000 + doc_id * 600000 AS published FROM documents WHERE doc_id % 5 <> 0 AND doc_id % 11 <> 0""",

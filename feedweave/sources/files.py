@@ -64,6 +64,8 @@ def write_shards(items: DataFrame, root: str, stories: DataFrame | None = None)
     items.withColumn("shard_date", shard_date()).repartition("shard_date", F.pmod(F.xxhash64("id"), F.lit(4))).write.partitionBy("shard_date").parquet(path)
     if stories is not None:
         stories.write.parquet(f"{path}-stories")
+    schema = T.StructType([*items.schema.fields, T.StructField("shard_date", T.StringType())])
+    _digests(items.sparkSession.read.schema(schema).parquet(path), path).write.parquet(f"{path}-digests")
     _replace(items.sparkSession, f"{root}/current.json", {"path": path, "stories": f"{path}-stories" if stories is not None else None})
     return path
 
@@ -79,7 +81,7 @@ def _current(spark: SparkSession, root: str) -> dict | None:
         return json.loads(pointer)
     fs, folder = _path(spark, root)
     # the first version may be on its way, but one that another came after has been current
-    if fs.exists(folder) and sum(s.isDirectory() and s.getPath().getName().startswith("v-") and not s.getPath().getName().endswith("-stories") for s in fs.listStatus(folder)) > 1:
+    if fs.exists(folder) and sum(s.isDirectory() and s.getPath().getName().startswith("v-") and "-" not in s.getPath().getName()[2:] for s in fs.listStatus(folder)) > 1:
         raise LostPointer(f"{root} has versions and no current.json")
     return None
 
@@ -105,14 +107,58 @@ def drop_old_versions(spark: SparkSession, root: str, keep: int = 2) -> list[str
     if now is None:
         return []
     names = sorted(s.getPath().getName() for s in fs.listStatus(folder) if s.isDirectory() and s.getPath().getName().startswith("v-"))
-    versions = sorted({n.removesuffix("-stories") for n in names})
+    version = lambda name: "-".join(name.split("-")[:2])
+    versions = sorted({version(n) for n in names})
     gone = [v for v in versions[: -keep if keep else None] if not now["path"].endswith(v)]
     for name in names:
-        if name.removesuffix("-stories") in gone:
+        if version(name) in gone:
             fs.delete(spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder, name), True)
     return gone
 
 
+def _digests(rows: DataFrame, path: str) -> DataFrame:
+    """(version, shard_date, n, digest) of the rows of a version: equal for days that hold the same rows."""
+    row = F.xxhash64(*(c for c in sorted(rows.columns) if c != "shard_date"))
+    by_day = rows.groupBy(F.col("shard_date").cast("string").alias("shard_date")).agg(F.count("*").alias("n"), F.sum(row.cast("decimal(38,0)")).cast("string").alias("digest"))
+    return by_day.select(F.lit(path.rsplit("/", 1)[-1]).alias("version"), "shard_date", "n", "digest")
+
+
+def history(spark: SparkSession, root: str) -> DataFrame:
+    """The rows of all versions that are there, with `version` and `shard_date`, each content of a day once:
+    that of the newest version that holds it.  A day that didn't change is read from one version only.
+
+    The folders to read are listed on the driver: a row a distinct content of a day.
+    """
+    schema = T.StructType([*ITEM.fields, T.StructField("shard_date", T.StringType()), T.StructField("version", T.StringType())])
+    fs, folder = _path(spark, root)
+    names = {s.getPath().getName() for s in fs.listStatus(folder) if s.isDirectory()} if fs.exists(folder) else set()
+    versions = sorted(n for n in names if n.startswith("v-") and "-" not in n[2:])
+    if not versions:
+        return spark.createDataFrame([], schema)
+    plain = T.StructType(schema.fields[:-1])
+    read = lambda v: spark.read.schema(plain).parquet(f"{root}/{v}")
+    known = [f"{root}/{v}-digests" for v in versions if f"{v}-digests" in names]
+    digests = [spark.read.parquet(*known)] if known else []
+    digests += [_digests(read(v), v) for v in versions if f"{v}-digests" not in names]
+    every = digests[0]
+    for more in digests[1:]:
+        every = every.unionByName(more)
+    wanted: dict[str, list[str | None]] = {}
+    for r in every.groupBy("shard_date", "n", "digest").agg(F.max("version").alias("version")).select("version", "shard_date").distinct().collect():
+        wanted.setdefault(r["version"], []).append(r["shard_date"])
+    out = None
+    for v, days in sorted(wanted.items()):
+        named = F.col("shard_date").isin([d for d in days if d is not None])
+        rows = read(v).where(named | F.col("shard_date").isNull() if None in days else named).withColumn("version", F.lit(v))
+        out = rows if out is None else out.unionByName(rows)
+    return out
+
+
+def first_seen(spark: SparkSession, root: str) -> DataFrame:
+    """The items that any version held, each as its first day has it, and of that day the newest content."""
+    return from_history(history(spark, root), [F.asc_nulls_last("shard_date"), F.desc("version")])
+
+
 def from_history(versions: DataFrame, order: list[Column]) -> DataFrame:
     """The first row of each id in an order, over versions of all shards."""
     from feedweave.operators.items import top_per_group

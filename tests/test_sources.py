@@ -168,3 +168,23 @@ def test_the_first_of_late_events_holds(spark, tmp_path):
         keep = lambda b, n: [out.setdefault(r["k"], []).append(r["id"]) for r in b.collect()]
         runs.stream_first_seen(events, "k", "t", "id").writeStream.outputMode("update").foreachBatch(keep).option("checkpointLocation", str(tmp_path / "state")).trigger(availableNow=True).start().awaitTermination()
     assert out == {1: [6, 8], 2: [1]}
+
+
+def test_history_reads_each_content_of_a_day_once(spark, tmp_path):
+    from feedweave.sources import files as P
+
+    root = str(tmp_path / "items")
+    item = lambda i, day, score: {"id": i, "publishedAt": f"2026-01-{day:02d}T00:00:00Z", "relevanceScore": score}
+    frame = lambda *rows: spark.createDataFrame([tuple(r.get(f.name) for f in P.ITEM.fields) for r in rows], P.ITEM)
+    assert P.history(spark, root).count() == 0
+    P.write_shards(frame(item("a", 1, 1), item("b", 2, 1), item("c", 3, 1)), root)
+    P.write_shards(frame(item("a", 1, 1), item("b", 2, 5)), root)  # a day as before, one changed, one gone
+    P.write_shards(frame(item("a", 1, 1), item("b", 2, 1), item("a", 4, 9)), root)  # and one as at first
+    rows = P.history(spark, root)
+    assert sorted((r["id"], r["relevanceScore"]) for r in rows.collect()) == [("a", 1), ("a", 9), ("b", 1), ("b", 5), ("c", 1)]
+    seen = {r["id"]: r["relevanceScore"] for r in P.first_seen(spark, root).collect()}
+    assert seen == {"a": 1, "b": 1, "c": 1}  # of the second day, the newest content
+    assert len(rows.inputFiles()) >= 5
+    P.drop_old_versions(spark, root, 1)
+    assert sorted(r["id"] for r in P.history(spark, root).collect()) == ["a", "a", "b"]
+    assert P.read_versions(spark, root).count() == 3
