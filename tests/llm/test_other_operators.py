@@ -274,8 +274,9 @@ def planted(rng, i):
     comments = f'<section id="comments"><p>{noise(rng.randrange(5, 60))}</p></section>'
     head = f'<header>{noise(3)}</header><nav><a href="/">{noise(2)}</a></nav><div class="cookie-notice">{noise(5)}</div>'
     foot = f'<aside><p>{noise(8)}</p></aside><form><label>{noise(2)}</label></form><footer>{noise(6)}</footer>'
-    layout = i % 4
-    main = [f"<article>{body}</article>", f'<div class="page with-sidebar"><div class="entry-content side-by-side">{body}</div></div>', f'<form action="/"><main class="alerts">{body}</main></form>'.replace("form", "div"), f'<div id="story"><div class="text">{body}</div></div>'][layout]
+    layout, cut = i % 6, body.find("<p>", len(body) // 3)
+    cut = cut if cut > 0 else len(body)
+    main = [f"<article>{body}</article>", f'<div class="page with-sidebar"><div class="entry-content side-by-side">{body}</div></div>', f'<form action="/"><main class="alerts">{body}</main></form>'.replace("form", "div"), f'<div id="story"><div class="text">{body}</div></div>', f'<div class="post">{body}</div>', f'<div class="post-top">{body[:cut]}</div><div class="post-rest">{body[cut:]}</div>'][layout]
     return f"https://site{layout}.example/{i}", f"<html><body>{head}{main}{comments}{foot}</body></html>", [w for ws in mine for w in ws], other
 
 
@@ -292,6 +293,88 @@ def test_planted_pages_are_told_from_what_is_around_them(spark):
     assert right / (right + wrong) > 0.98 and right / (right + missed) > 0.98
 
 
+LONG, MORE = ("a long text of the page itself " * 14).strip(), ("and the rest of it " * 24).strip()
+
+
+@pytest.mark.parametrize(
+    ("html", "text"),
+    [
+        (f'<body><div class="post">{LONG}</div><div class="post-more">{MORE}</div></body>', f"{LONG}\n{MORE}"),
+        (f'<body><div class="post">{LONG}</div><div class="post">{MORE}</div><div class="extra">x</div></body>', f"{LONG}\n{MORE}"),
+        *((f"<article><p>{LONG}</p><div {n}><p>{MORE}</p></div></article>", f"{LONG}\n{MORE}") for n in ('class="social-policy"', 'class="notice-of-meeting"', 'id="related-work"')),
+        *((f'<article><p>{LONG}</p><div class="{n}"><p>{MORE}</p></div></article>', LONG) for n in ("social-links", "related-posts", "comment-list", "ad-300", "notice")),
+        (f'<article><p>{LONG}</p><div class="related-work"><a href="/">{MORE}</a></div></article>', LONG),
+        (f"<header><h1>Site</h1></header><article><header><h1>Title</h1><nav>Home</nav></header><p>{LONG}</p><footer>x</footer></article>", f"Title\n{LONG}"),
+        (f'<body><h1>Title</h1><div class="content"><p>{LONG}</p></div></body>', f"Title\n{LONG}"),
+        (f'<body><h1><a href="/">Site</a></h1><div class="content"><p>{LONG}</p></div></body>', LONG),
+        (f"<body><h1>Site</h1><article><p>{LONG}</p></article></body>", LONG),
+        (f'<main><article><p>short</p></article><div id="comments"><ol class="comment-list"><li><article class="comment-body"><p>{MORE}</p></article></ol></div></main>', "short"),
+        (f"<form><article><p>{LONG}</p></article><p>{MORE}</p></form>", LONG),
+        (f"<form><p>{LONG}</p></form>", ""),
+        (f'<form><p>{LONG}</p></form><div class="sidebar">{MORE}</div>', MORE),
+    ],
+)
+def test_articles_are_kept_whole(html, text):
+    assert html_main.Page(html).text(None) == text
+
+
+def brute_main_text(pages):
+    """Votes and texts of pages [(host, Page)], each score from its definition and no sums carried up."""
+
+    def chain(page, c):
+        while c >= 0:
+            yield c
+            c = page.parents[c]
+
+    def scores(page):
+        out = [0.0] * len(page.parents)
+        for text, linked, at, _, _ in page.blocks:
+            for depth, c in enumerate(chain(page, at)):
+                out[c] += page.weights[c] * max(0, len(text) - 2 * linked) * 0.7**depth
+        return out
+
+    votes, up, main = {}, {}, {}
+    for host, page in pages:
+        got = scores(page)
+        for c, s in enumerate(got):
+            if host and s > 0.2 * max(got):
+                key = host, page.paths[c]
+                votes[key] = votes.get(key, 0) + int(round(s / max(got), 3) * 1000 + 1e-6)
+                up[key], main[key] = page.paths[page.parents[c]] if page.parents[c] >= 0 else 0, page.weights[c] == 3
+    for host, page in pages:
+        mine = {p: v for (h, p), v in votes.items() if h == host}
+        best = min(mine, key=lambda p: (-mine[p], p)) if mine else None
+        chosen = {c for c, p in enumerate(page.paths) if p == best}
+        holding = lambda chosen: [b for b in page.blocks if chosen & set(chain(page, b[2]))]  # noqa: B023, E731
+        if holding(chosen):
+            like = {p for p in mine if 4 * mine[p] >= mine[best] and up[host, p] == up[host, best] and main[host, p] == main[host, best]}
+            chosen = {c for c, p in enumerate(page.paths) if p in like}
+        else:
+            got = scores(page)
+            top = got.index(max(got))
+            chosen = {c for c, s in enumerate(got) if 4 * s >= got[top] and page.parents[c] == page.parents[top] and (page.weights[c] == 3) == (page.weights[top] == 3)}
+        yield "\n".join(b[0] for b in holding(chosen))
+
+
+def test_votes_and_texts_equal_brute_force(spark):
+    rng = random.Random(21)
+    part = lambda n: " ".join(f"w{rng.randrange(10**6)}" for _ in range(n))
+    rows = []
+    for i in range(160):
+        site = i % 8
+        pieces = ["".join(f"<p>{part(rng.randrange(3, 30))}</p>" for _ in range(rng.randrange(1, 5))) for _ in range(3)]
+        talk = f'<div class="talk"><p>{part(rng.randrange(1, 40))}</p></div>'
+        more = f'<div class="{rng.choice(["post-more", "rest", "post"])}">{pieces[1]}</div>'
+        links = f'<div class="x"><a href="/">{part(20)}</a></div>'
+        body = [f'<div class="post">{pieces[0]}</div>{more}', f"<article>{pieces[0]}</article>{links}<article>{pieces[1]}</article>", f'<div id="story"><div>{pieces[0]}</div><section>{pieces[1]}{links}</section></div>', f"<div><div><div>{pieces[0]}</div></div>{more}</div>"][site % 4]
+        if rng.random() < 0.1:
+            body = f"<section>{pieces[2]}</section>"
+        rows.append((i, f"http://site{site}.example/{i}" if i % 11 else None, f"<body>{body}{talk}</body>"))
+    got = {r["page_id"]: r["text"] for r in html_main.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    want = brute_main_text([(u and u.split("/")[2], html_main.Page(h)) for _, u, h in rows])
+    assert [got[i] for i in range(160)] == list(want)
+
+
 def test_marked_elements_that_are_the_page_stay():
     text = lambda h: html_main.Page(h).text(None)
     long = "a long text of the page itself " * 5
