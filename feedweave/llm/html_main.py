@@ -18,6 +18,7 @@ proportion to the page, however deep its elements are nested.
 from __future__ import annotations
 
 import re
+import zlib
 from collections.abc import Iterable, Iterator
 from functools import lru_cache
 from hashlib import blake2b
@@ -315,12 +316,13 @@ def _text(texts: list[str], at: list[int], heads: list[int], parents: list[int],
     return "\n".join(texts[i] for i in found)
 
 
-_PARSED = [("texts", T.ArrayType(T.StringType())), ("at", T.ArrayType(T.IntegerType())), ("heads", T.ArrayType(T.IntegerType())), ("parents", T.ArrayType(T.IntegerType())), ("paths", T.ArrayType(T.LongType())), ("weights", T.ArrayType(T.DoubleType())), ("scores", T.ArrayType(T.DoubleType()))]
+_PARSED = [("texts", T.BinaryType()), ("at", T.ArrayType(T.IntegerType())), ("heads", T.ArrayType(T.IntegerType())), ("parents", T.ArrayType(T.IntegerType())), ("paths", T.ArrayType(T.LongType())), ("weights", T.ArrayType(T.DoubleType())), ("scores", T.ArrayType(T.DoubleType()))]
 
 
 def parsed(pages: DataFrame, key: str = "page_id", url: str = "url", html: str = "html") -> DataFrame:
     """(key, url, host, texts, at, heads, parents, paths, weights, scores): blocks and
-    containers of each page, of which `at` are those of the blocks.  A null or empty page has none.  The host
+    containers of each page, of which `at` are those of the blocks.  The texts are joined by
+    line feeds and compressed, as they are written and shuffled once each.  A null or empty page has none.  The host
     is that of the URL in lower case, without port; null if there is none."""
     schema = T.StructType([T.StructField("key", pages.schema[key].dataType), T.StructField("url", pages.schema[url].dataType), *(T.StructField(n, t) for n, t in _PARSED)])
 
@@ -330,7 +332,7 @@ def parsed(pages: DataFrame, key: str = "page_id", url: str = "url", html: str =
                 part = batch.slice(low, 64)
                 rows = [Page(h.as_py() or "") for h in part.column(2)]
                 columns = [
-                    pa.array([[b[0] for b in p.blocks] for p in rows], pa.list_(pa.string())),
+                    pa.array([zlib.compress("\n".join(b[0] for b in p.blocks).encode()) for p in rows], pa.binary()),
                     pa.array([[b[2] for b in p.blocks] for p in rows], pa.list_(pa.int32())),
                     pa.array([[b[4] for b in p.blocks] for p in rows], pa.list_(pa.int32())),
                     pa.array([p.parents for p in rows], pa.list_(pa.int32())),
@@ -380,7 +382,8 @@ def extract(pages: DataFrame, key: str = "page_id", url: str = "url", html: str
         for batch in batches:
             for low in range(0, batch.num_rows, 64):
                 part = batch.slice(low, 64)
-                texts = [_text(*row) for row in zip(*(part.column(i).to_pylist() for i in range(2, 4 + len(names))), strict=True)]
+                rows = zip(*(part.column(i).to_pylist() for i in range(2, 4 + len(names))), strict=True)
+                texts = [_text(zlib.decompress(packed).decode().split("\n"), *row) if row[0] else "" for packed, *row in rows]
                 yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(texts, pa.string())], schema.names)
         tx.release()
 
