@@ -31,7 +31,7 @@ from feedweave.llm.session import cut
 SAMPLE_ROWS = 6_000
 #: The log-likelihood ratio against chance that a voter of the lexicon and a feature of the
 #: classifier need, and how many times as often a voter must fire on toxic rows.
-SURE, WEAK, LIFT = 15.0, 8.0, 10
+SURE, WEAK, LIFT = 11.0, 8.0, 20
 #: Characters of the word beginnings that are features beside whole words and pairs of words.
 BEGINNINGS = (3, 4, 5, 6, 7)
 #: Insults of general use, voters from the start whatever the labels say.

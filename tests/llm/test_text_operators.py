@@ -653,3 +653,13 @@ def test_benchmarks_in_blocks(spark, monkeypatch):
     assert {(r["doc_id"], r["item_id"]) for r in decontaminate.leaks(docs(spark, items), bench).collect()} == {(i, i) for i in range(12)}
     assert decontaminate.decontaminate(docs(spark, [*items, "clean"]), bench).count() == 1
     assert decontaminate.leaks(docs(spark, items), bench.limit(0)).count() == 0
+
+
+def test_held_out_errors_of_toxicity(spark):
+    """Rows of sf0.1 that the labels held back: 9 errors of 825, 7 of them among 97 toxic rows."""
+    sf_dir = "/root/testdata/sf0.1"
+    labels = spark.read.parquet(f"{sf_dir}/labels.parquet").where("toxic is not null").select("doc_id", "toxic")
+    got = queries.queries()["op7_toxicity"](spark, sf_dir).where("held_out").join(labels, "doc_id").groupBy("toxic", "predicted").count().collect()
+    count = {(r["toxic"], r["predicted"]): r["count"] for r in got}
+    wrong = count.get((0, 1), 0) + count.get((1, 0), 0)
+    assert wrong <= 0.015 * sum(count.values()) and count[1, 1] >= 0.9 * (count[1, 1] + count.get((1, 0), 0))
