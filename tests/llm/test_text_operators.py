@@ -12,7 +12,7 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as sf
 
-from feedweave.llm import bpe_count, decontaminate, near_dedup, pseudo_lm, secrets, sp_sample, toxicity
+from feedweave.llm import bpe_count, decontaminate, near_dedup, pseudo_lm, queries, secrets, sp_sample, toxicity
 from feedweave.llm import text as tx
 from feedweave.llm.shingles import shingles
 
