@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+import zlib
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -14,6 +15,8 @@ from feedweave.sources import videos as S
 
 CUT = "1996-06-01T00:00:00Z"
 _PAGE = 4
+#: Parts that one file of details holds, about.
+_SHELF = 2_000
 
 
 def _landed_uploads(spark: SparkSession, sf: str) -> tuple[str, list[str]]:
@@ -47,26 +50,19 @@ def paged_uploads(spark: SparkSession, sf: str) -> DataFrame:
 
 @query("looked_up_details", "SELECT p_partkey, CASE WHEN p_size % 7 <> 0 THEN p_name END AS title, CASE WHEN p_size % 7 <> 0 THEN 'PT' || p_size || 'M' END AS duration FROM part")
 def looked_up_details(spark: SparkSession, sf: str) -> DataFrame:
-    """Parts as videos whose details are asked for by fifty, some of which aren't answered for."""
+    """Parts as videos whose details are asked for by fifty, some of which aren't answered for.  Responses are
+    landed by shelves of some _SHELF parts, so files are few however many parts there are."""
     folder = f"{shared_folder(spark)}/details"
     part = read(spark, sf, "part")
+    shelves = part.count() // _SHELF + 1
+    place = lambda i: F.crc32(i) % shelves
+    key = F.col("p_partkey").cast("string")
     snippet, details = F.struct(F.col("p_name").alias("title")), F.struct(F.concat(F.lit("PT"), "p_size", F.lit("M")).alias("duration"))
-    item = F.to_json(F.struct(F.col("p_partkey").cast("string").alias("id"), snippet.alias("snippet"), details.alias("contentDetails")))
-    part.where("p_size % 7 <> 0").select(item.alias("value"), F.concat(F.lit("detail-"), F.col("p_partkey")).alias("request")).repartition("request").write.partitionBy("request").text(folder)
+    item = F.to_json(F.struct(key.alias("id"), snippet.alias("snippet"), details.alias("contentDetails")))
+    part.where("p_size % 7 <> 0").select(item.alias("value"), F.concat(F.lit("details-"), place(key)).alias("request")).repartition("request").write.partitionBy("request").text(folder)
 
     def client():
-        fetch = S.landed(folder)
+        return S.shelved(folder, lambda i: f"details-{zlib.crc32(i.encode()) % shelves}")
 
-        def answer(ids: list[str]) -> str:
-            items = []
-            for i in ids:
-                try:
-                    items.append(json.loads(fetch(f"detail-{i}")))
-                except OSError:
-                    continue
-            return json.dumps({"items": items})
-
-        return answer
-
-    found = S.looked_up(part.select("p_partkey"), client, S.DETAIL_ROW, "p_partkey")
+    found = S.looked_up(part.select("p_partkey"), client, S.DETAIL_ROW, "p_partkey", place=place)
     return found.select("p_partkey", F.col("found.snippet.title").alias("title"), F.col("found.contentDetails.duration").alias("duration"))

@@ -14,9 +14,10 @@ import json
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 from datetime import UTC, datetime
+from functools import lru_cache
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.datasource import DataSource, DataSourceReader, Filter, GreaterThan, GreaterThanOrEqual, InputPartition
@@ -61,6 +62,22 @@ def landed(folder: str) -> Callable[[str], str]:
     return fetch
 
 
+def shelved(folder: str, shelf: Callable[[str], str]) -> Callable[[list[str]], str]:
+    """A client for `looked_up` of responses that are landed by shelves: files of JSON lines, an item with an
+    `id` each, under the request that `shelf` names for an id.  It holds the one shelf that it read last; a shelf
+    that isn't there holds nothing."""
+    fetch = landed(folder)
+
+    @lru_cache(maxsize=1)
+    def items(request: str) -> dict[str, dict]:
+        try:
+            return {i["id"]: i for i in map(json.loads, filter(None, fetch(request).split("\n")))}
+        except OSError:
+            return {}
+
+    return lambda ids: json.dumps({"items": [found for i in ids if (found := items(shelf(i)).get(i))]})
+
+
 def _instant(text: str | None) -> datetime | None:
     if not text:
         return None
@@ -160,12 +177,13 @@ def observed(rows: DataFrame, prefix: str = "") -> DataFrame:
     return rows.groupBy("videoId").agg(F.sort_array(F.collect_set(F.concat(F.lit(prefix), "list"))).alias("queries"))
 
 
-def looked_up(ids: DataFrame, client: Callable[[], Callable[[list[str]], str]], row: T.StructType, column: str = "videoId", batch: int = DETAIL_BATCH) -> DataFrame:
+def looked_up(ids: DataFrame, client: Callable[[], Callable[[list[str]], str]], row: T.StructType, column: str = "videoId", batch: int = DETAIL_BATCH, place: Callable[[Column], Column] | None = None) -> DataFrame:
     """`ids` with a struct `found` of the response's item of that id, null where there is none.
 
     At most `batch` ids are asked for at once; `client` makes in each worker the function that answers them with
     a response's text.  A batch without a readable answer finds nothing, others do.  Null and repeated
-    ids aren't asked for.
+    ids aren't asked for.  `place` says of an id (as text) where its answer is kept: ids of a place are asked for
+    by one task, one after the other, so that a client need not open a place again for each.
     """
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -189,5 +207,7 @@ def looked_up(ids: DataFrame, client: Callable[[], Callable[[list[str]], str]],
             yield ask(held)
 
     asked = ids.select(F.col(column).cast("string").alias(column)).where(F.col(column).isNotNull()).distinct()
+    if place is not None:
+        asked = asked.withColumn("_place", place(F.col(column))).repartition("_place").sortWithinPartitions("_place").drop("_place")
     bodies = asked.mapInPandas(run, f"{column} string, body string")
     return ids.join(bodies.select(F.col(column).alias("_id"), F.from_json("body", row).alias("found")), F.col(column).cast("string") == F.col("_id"), "left").drop("_id")

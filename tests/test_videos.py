@@ -85,3 +85,36 @@ def test_look_ups_ask_in_batches(spark, tmp_path):
     found = {r["videoId"] for r in got if r["found"]}
     assert "3" not in found and "7" not in found and all(r["found"]["contentDetails"]["duration"] == "PT1M" for r in got if r["found"])
     assert S.looked_up(ids.limit(0), client, S.DETAIL_ROW).count() == 0
+
+
+def test_details_are_landed_by_shelves_and_each_is_opened_once(spark, tmp_path):
+    from pyspark.sql import functions as F
+
+    for k in range(3):
+        (tmp_path / f"request=s-{k}").mkdir()
+        (tmp_path / f"request=s-{k}" / "part-0").write_text("".join(json.dumps({"id": str(i), "snippet": {"title": f"t{i}\u2028"}}, ensure_ascii=False) + "\n" for i in range(k, 60, 4)))
+    opened = spark.sparkContext.accumulator(0)
+
+    def client():
+        answer = S.shelved(str(tmp_path), lambda i: f"s-{int(i) % 4}")  # the fourth shelf isn't there
+
+        def counted(ids):
+            opened.add(len({int(i) % 4 for i in ids}))
+            return answer(ids)
+
+        return counted
+
+    ids = spark.range(64).select(F.col("id").cast("string").alias("videoId"))
+    got = {int(r["videoId"]): r["found"] for r in S.looked_up(ids, client, S.DETAIL_ROW, batch=4, place=lambda c: c.cast("int") % 4).collect()}
+    assert {i for i, f in got.items() if f} == {i for i in range(60) if i % 4 < 3} and got[5]["snippet"]["title"] == "t5\u2028"
+    assert opened.value <= 16 + 6  # 16 batches of 4 ids, of which a few hold ids of two shelves
+
+
+def test_details_of_parts_make_few_files(spark, tmp_path, monkeypatch):
+    from feedweave.plans import sources
+
+    monkeypatch.setattr(sources, "shared_folder", lambda s: str(tmp_path))
+    rows = sources.looked_up_details(spark, "/root/testdata/sf0.01")
+    n = rows.count()
+    assert n == rows.where("title is not null").count() + rows.where("title is null").count() > 0
+    assert len(list((tmp_path / "details").glob("request=*/part-*"))) <= n // 1000 + 1
