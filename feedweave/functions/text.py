@@ -5,6 +5,7 @@ from __future__ import annotations
 import html
 import re
 import unicodedata
+from html.entities import html5
 from itertools import accumulate
 
 import pandas as pd
@@ -35,11 +36,26 @@ def decode_entities(s: pd.Series) -> pd.Series:
     return s.map(html.unescape, na_action="ignore")
 
 
-def strip_html(c: Column | str, tag: str = " ") -> Column:
-    """Text without tags (each becomes `tag`), entities decoded, white space squeezed.  The
-    decoder runs in Python; it gets the texts with an ampersand and null for the others."""
+_CLOSED = re.compile(r"&(?:#[0-9]+|#[xX][0-9A-Fa-f]+|[A-Za-z][A-Za-z0-9]*);")
+
+
+def decode_closed(text: str) -> str:
+    """Entities that a semicolon closes decoded; "&amp" without one, as a cut leaves it, stays as it is."""
+    return _CLOSED.sub(lambda m: html.unescape(m[0]) if m[0][1] == "#" else html5.get(m[0][1:], m[0]), text)
+
+
+@F.pandas_udf(T.StringType())
+def decode_closed_entities(s: pd.Series) -> pd.Series:
+    return s.map(decode_closed, na_action="ignore")
+
+
+def strip_html(c: Column | str, tag: str = " ", strict: bool = False) -> Column:
+    """Text without tags (each becomes `tag`), entities decoded, white space squeezed.  As browsers do, old
+    names ("&amp") are decoded without a semicolon, too; if `strict`, none is.  The decoder runs in Python; it
+    gets the texts with an ampersand and null for the others."""
     bare = F.regexp_replace(_col(c), "<[^>]*>", tag)
-    return squeeze(F.coalesce(decode_entities(F.when(bare.contains("&"), bare)), bare))
+    decode = decode_closed_entities if strict else decode_entities
+    return squeeze(F.coalesce(decode(F.when(bare.contains("&"), bare)), bare))
 
 
 def strip_inline_html(c: Column | str) -> Column:

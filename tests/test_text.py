@@ -45,6 +45,19 @@ def test_strip_html(spark, raw, text):
     assert one(spark, X.strip_html("v"), raw) == text
 
 
+def test_strict_stripping_decodes_what_a_semicolon_closes(spark):
+    raw = "ein &amp</title> &amp;lt; &#38 &#x26;&nosuch; &ampx; &copy;"
+    assert one(spark, X.strip_html("v", strict=True), raw) == "ein &amp &lt; &#38 &&nosuch; &ampx; ©"
+    assert one(spark, X.strip_html("v"), raw) == "ein & &lt; & &&nosuch; &x; ©"
+
+
+def test_the_query_strip_html_leaves_cut_entities(spark, tmp_path):
+    from feedweave.plans import feed
+
+    spark.createDataFrame([(1, "<p>und&amp</p>&amp;")], "page_id long, html string").write.parquet(str(tmp_path / "pages.parquet"))
+    assert feed.strip_html(spark, str(tmp_path)).first()["text"] == "und&amp &"
+
+
 def test_truncate_summary(spark):
     assert one(spark, X.truncate_summary("v", 10), "abcdefgh ijkl") == "abcdefgh..."
     assert one(spark, X.truncate_summary("v", 10), "abcdefghij") == "abcdefghij"
