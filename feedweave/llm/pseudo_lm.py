@@ -8,16 +8,19 @@ the root by length, in which each word has its share of the occurrences in all o
 documents.  The summed conditional log-probabilities score a document.
 
 What is gathered grows with the corpus: the counts of all its words, in a table that is
-partitioned by word.  The network is trained in numpy on the driver on a sample of about
-TRAIN windows from all documents.  Tasks get the network and the counts of the KNOWN most
+partitioned by word.  The network is trained on every window of the corpus: about TRAIN of
+them make a beginning on the driver, from which parts of the corpus go on, each in a task,
+and the means of what they learn make the network.  Tasks get the network and the counts of the KNOWN most
 frequent words; rarer words meet their counts in a join, and none of them is frequent
 enough to be a hot key.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 from dataclasses import dataclass, field
+from itertools import groupby, pairwise
 
 import numpy as np
 import pyarrow as pa
@@ -37,8 +40,10 @@ LENGTHS = (8, 12)
 TAILS = len(LENGTHS) + 1
 #: Embeddings of words outside the vocabulary as neighbours, by their last two bytes.
 ENDINGS = 2048
-#: Windows that the network is trained on, about; width of the embeddings.
-TRAIN, WIDTH = 300_000, 16
+#: Windows that the network begins with, about; width of the embeddings; rate of the steps.
+TRAIN, WIDTH, RATE = 300_000, 16, 0.25
+#: Words of a part, about, windows of one of its steps, and the unit in which its moves are added up.
+PART, STEP, SCALE = 1 << 22, 1 << 16, 1 << 24
 #: What is added to the occurrences of a word outside the vocabulary elsewhere.
 SMOOTHING = 0.1
 #: The place of the edge of a document among the embeddings.
@@ -188,6 +193,22 @@ class Network:
     levels: list[np.ndarray]
     biases: list[np.ndarray]
 
+    def parts(self) -> list[np.ndarray]:
+        return [self.tables, self.root, self.root_bias, *self.levels, *self.biases]
+
+    def rows(self) -> np.ndarray:
+        """All parameters: embeddings, branches of the root and nodes below, a row each, with the bias last."""
+        tables = self.tables.reshape(-1, self.tables.shape[2])
+        pairs = [(tables, np.zeros(len(tables), np.float32)), (self.root.T, self.root_bias), *zip(self.levels, self.biases, strict=True)]
+        return np.concatenate([np.concatenate([x, b[:, None]], 1) for x, b in pairs])
+
+    def copy(self, rows: np.ndarray | None = None) -> Network:
+        """A network of its own with the same parameters, or with those of `rows`."""
+        rows = self.rows() if rows is None else rows
+        tables, root, one, two = np.split(rows, np.cumsum([self.tables.shape[0] * self.tables.shape[1], self.root.shape[1], len(self.levels[0])]))
+        own = np.ascontiguousarray
+        return Network(own(tables[:, :-1]).reshape(self.tables.shape), own(root[:, :-1].T), own(root[:, -1]), [own(x[:, :-1]) for x in (one, two)], [own(x[:, -1]) for x in (one, two)])
+
     def hidden(self, near: np.ndarray) -> np.ndarray:
         total = self.tables[0][near[:, 0]]
         for k in range(1, 4):
@@ -212,15 +233,17 @@ class Network:
         for low in range(0, len(near), 8192):
             part = slice(low, low + 8192)
             hidden[part] = h = self.hidden(near[part])
-            logits = h @ self.root
-            logits += self.root_bias
-            out[part] = logits[np.arange(len(h)), branch[part]] - _log_sum(logits)
+            logits = self.root.T @ h.T
+            logits += self.root_bias[:, None]
+            out[part] = logits[branch[part], np.arange(len(h))]
+            out[part] -= _exp(logits)[1]
         for level, low, high, rows, node in self._groups(place):
             for at in range(0, len(rows), 16384):
                 some = rows[at : at + 16384]
-                logits = hidden[some] @ self.levels[level][low:high].T
-                logits += self.biases[level][low:high]
-                out[some] += logits[np.arange(len(some)), node[at : at + 16384] - low] - _log_sum(logits)
+                logits = self.levels[level][low:high] @ hidden[some].T
+                logits += self.biases[level][low:high, None]
+                picked = logits[node[at : at + 16384] - low, np.arange(len(some))]
+                out[some] += picked - _exp(logits)[1]
         return out
 
     def gradients(self, near: np.ndarray, branch: np.ndarray, place: np.ndarray) -> tuple[float, np.ndarray, np.ndarray, np.ndarray, list[tuple[int, int, int, np.ndarray, np.ndarray]]]:
@@ -228,69 +251,154 @@ class Network:
         weights and biases, and (level, first node, last node) by (weights, biases) below."""
         n, every = len(near), np.arange(len(near))
         h = self.hidden(near)
-        error = h @ self.root + self.root_bias
-        error -= _log_sum(error)[:, None]
-        loss = -float(error[every, branch].sum())
-        error = np.exp(error)
-        error[every, branch] -= 1
+        error = self.root.T @ h.T
+        error += self.root_bias[:, None]
+        loss = -float(error[branch, every].sum())
+        error, sums = _exp(error)
+        loss += float(sums.sum())
+        error[branch, every] -= 1
         error /= n
-        back = error @ self.root.T
+        back = (self.root @ error).T
         below = []
         for level, low, high, rows, node in self._groups(place):
-            u, mine = self.levels[level][low:high], (np.arange(len(rows)), node - low)
-            e = h[rows] @ u.T + self.biases[level][low:high]
-            e -= _log_sum(e)[:, None]
+            u, mine, some = self.levels[level][low:high], (node - low, np.arange(len(rows))), h[rows]
+            e = u @ some.T
+            e += self.biases[level][low:high, None]
             loss -= float(e[mine].sum())
-            e = np.exp(e)
+            e, sums = _exp(e)
+            loss += float(sums.sum())
             e[mine] -= 1
             e /= n
-            back[rows] += e @ u
-            below.append((level, low, high, e.T @ h[rows], e.sum(0)))
-        return loss / n, back * (1 - h * h), h.T @ error, error.sum(0), below
+            back[rows] += e.T @ u
+            below.append((level, low, high, e @ some, e.sum(1)))
+        return loss / n, back * (1 - h * h), (error @ h).T, error.sum(1), below
 
 
-def _log_sum(logits: np.ndarray) -> np.ndarray:
-    most = logits.max(1)
-    return most + np.log(np.exp(logits - most[:, None]).sum(1))
+def _exp(logits: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Softmax of each column, in place, and the logarithms of the columns' sums of exponentials."""
+    most = logits.max(0)
+    logits -= most
+    np.exp(logits, out=logits)
+    sums = logits.sum(0)
+    logits /= sums
+    return logits, most + np.log(sums)
 
 
-def train(words: Vocabulary, near: np.ndarray, branch: np.ndarray, place: np.ndarray, width: int = WIDTH, epochs: int = 2, batch: int = 4096, rate: float = 0.25, seed: int = 1) -> Network:
-    """A network trained on windows by Adagrad; before the first step it gives every word
-    its share of all occurrences, whatever the neighbours."""
-    rng = np.random.default_rng(seed)
+class Adagrad:
+    """Steps of a network; `squares` are the sums of squared gradients of its parameters."""
+
+    def __init__(self, network: Network, squares: list[np.ndarray] | None = None, rate: float = RATE):
+        self.network, self.rate = network, rate
+        self.parts = network.parts()
+        self.squares = [np.full(x.shape, 1e-6, np.float32) for x in self.parts] if squares is None else squares
+
+    def _move(self, part: int, gradient: np.ndarray, at=...) -> None:
+        x, square = self.parts[part], self.squares[part]
+        square[at] += gradient * gradient
+        x[at] -= self.rate * gradient / np.sqrt(square[at])
+
+    def step(self, near: np.ndarray, branch: np.ndarray, place: np.ndarray) -> None:
+        _, back, by_root, by_bias, below = self.network.gradients(near, branch, place)
+        for k in range(4):
+            rows = np.argsort(near[:, k].astype(np.uint16), kind="stable")
+            touched, first = np.unique(near[rows, k], return_index=True)
+            self._move(0, np.add.reduceat(back[rows], first, axis=0), (k, touched))
+        self._move(1, by_root)
+        self._move(2, by_bias)
+        for level, first, last, gradient, bias in below:
+            self._move(3 + level, gradient, slice(first, last))
+            self._move(5 + level, bias, slice(first, last))
+
+
+def untrained(words: Vocabulary, width: int = WIDTH, seed: int = 1) -> Network:
+    """A network that gives every word its share of all occurrences, whatever the neighbours."""
     mass = np.full(VOCABULARY, 1e-9)
     mass[: len(words.occurrences)] += words.occurrences
     shares = [np.log(mass.reshape(-1, BRANCHES**k).sum(1)).astype(np.float32) for k in range(3)]
-    net = Network(
-        rng.normal(0, 0.1, (4, EDGE + 1, width)).astype(np.float32),
+    return Network(
+        np.random.default_rng(seed).normal(0, 0.1, (4, EDGE + 1, width)).astype(np.float32),
         np.zeros((width, BRANCHES + TAILS), np.float32),
         np.append(shares[2], np.log(words.tail_occurrences + 1e-9)).astype(np.float32),
         [np.zeros((VOCABULARY // below, width), np.float32) for below in (BRANCHES, 1)],
         [shares[1], shares[0]],
     )
-    parts = [net.tables, net.root, net.root_bias, *net.levels, *net.biases]
-    squares = [np.full(x.shape, 1e-6, np.float32) for x in parts]
 
-    def step(part: int, gradient: np.ndarray, at=...) -> None:
-        x, square = parts[part], squares[part]
-        square[at] += gradient * gradient
-        x[at] -= rate * gradient / np.sqrt(square[at])
 
+def _epochs(learner: Adagrad, near: np.ndarray, branch: np.ndarray, place: np.ndarray, epochs: int, batch: int, seed: int = 1) -> None:
+    rng = np.random.default_rng(seed)
     for _ in range(epochs):
         order = rng.permutation(len(near))
         for low in range(0, len(order), batch):
             some = order[low : low + batch]
-            _, back, by_root, by_bias, below = net.gradients(near[some], branch[some], place[some])
-            for k in range(4):
-                rows = np.argsort(near[some, k], kind="stable")
-                touched, first = np.unique(near[some, k][rows], return_index=True)
-                step(0, np.add.reduceat(back[rows], first, axis=0), (k, touched))
-            step(1, by_root)
-            step(2, by_bias)
-            for level, first, last, gradient, bias in below:
-                step(3 + level, gradient, slice(first, last))
-                step(5 + level, bias, slice(first, last))
-    return net
+            learner.step(near[some], branch[some], place[some])
+
+
+def train(words: Vocabulary, near: np.ndarray, branch: np.ndarray, place: np.ndarray, width: int = WIDTH, epochs: int = 2, batch: int = 4096, rate: float = RATE, seed: int = 1) -> Network:
+    """A network trained on windows by Adagrad, from the untrained one on."""
+    learner = Adagrad(untrained(words, width, seed), rate=rate)
+    _epochs(learner, near, branch, place, epochs, batch, seed)
+    return learner.network
+
+
+def trained_on_all(docs: DataFrame, words: Vocabulary, start: Adagrad, total: float, key: str = "doc_id", text: str = "text") -> Network:
+    """The network of `start` trained on, by one pass over every window of `docs`.
+
+    Rows are dealt by a hash over parts of about PART words, in its order.  Each part goes through its windows from the same
+    start, STEP at a time; a row of parameters then moves by the mean of its moves in the parts that moved it.
+    Moves are added up as whole numbers, so the order of tasks makes no difference.
+    """
+    spark = docs.sparkSession
+    shared = spark.sparkContext.broadcast((words, start.network, start.squares))  # bounded by VOCABULARY, KNOWN and ENDINGS
+    width = start.network.tables.shape[2]
+    names = [f"v{i}" for i in range(width + 1)]
+
+    def learned(batches: Iterator[pa.RecordBatch]) -> pa.RecordBatch:
+        """How the rows of parameters move that one part moves."""
+        vocabulary, network, squares = shared.value
+        before = network.rows()
+        learner = Adagrad(network.copy(), [x.copy() for x in squares])
+        held: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+        size = 0
+
+        def learn() -> None:
+            near, branch, place = (np.concatenate(x) for x in zip(*held, strict=True))
+            for low in range(0, len(near), STEP):
+                learner.step(near[low : low + STEP], branch[low : low + STEP], place[low : low + STEP])
+
+        for _, _, _, data, w in _slices(batches, 1):
+            place, branch = vocabulary.place(data, w)
+            held.append((windows(place, w.bounds), branch, place))
+            size += len(place)
+            if size >= STEP:
+                learn()
+                held, size = [], 0
+        if size:
+            learn()
+        moved = np.rint((learner.network.rows() - before).astype(np.float64) * SCALE).astype(np.int64)
+        rows = np.flatnonzero(moved.any(1))
+        return pa.RecordBatch.from_arrays([pa.array(rows.astype(np.int32)), *(pa.array(moved[rows, i]) for i in range(width + 1))], ["row", *names])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def cuts() -> Iterator[tuple[int, pa.RecordBatch]]:
+            for batch in batches:
+                part = batch.column(0).to_numpy()
+                ends = [0, *(np.flatnonzero(np.diff(part)) + 1), len(part)]
+                yield from ((int(part[a]), batch.slice(a, b - a)) for a, b in pairwise(ends) if b > a)
+
+        for _, mine in groupby(cuts(), lambda x: x[0]):
+            yield learned(b for _, b in mine)
+        tx.release()
+
+    parts = max(1, math.ceil(total / PART))
+    h = F.xxhash64(key, text)
+    dealt = docs.select(F.pmod(h, F.lit(parts)).cast("int").alias("part"), text, h.alias("h")).repartition(parts, "part").sortWithinPartitions("part", "h")
+    moves = dealt.mapInArrow(run, ", ".join(["row int", *(f"{n} long" for n in names)]))
+    summed = moves.groupBy("row").agg(F.count("*").alias("n"), *(F.sum(n).alias(n) for n in names)).toArrow()  # at most a row for each of the network's
+    rows, n = summed["row"].to_numpy(), summed["n"].to_numpy()
+    every = start.network.rows().astype(np.float64)
+    for i, name in enumerate(names):
+        every[rows, i] += summed[name].to_numpy() / n / SCALE
+    return start.network.copy(every.astype(np.float32))
 
 
 @dataclass
@@ -306,7 +414,9 @@ def fit(docs: DataFrame, key: str = "doc_id", text: str = "text") -> Model:
     counts = cut(word_counts(docs, text))
     words = vocabulary(counts)
     total = words.occurrences.sum() + words.tail_occurrences.sum()
-    return Model(words, train(words, *sampled_windows(docs, words, TRAIN / max(total, 1), key, text)), counts)
+    start = Adagrad(untrained(words))
+    _epochs(start, *sampled_windows(docs, words, TRAIN / max(total, 1), key, text), epochs=2, batch=4096)
+    return Model(words, trained_on_all(docs, words, start, total, key, text) if total > TRAIN else start.network, counts)  # a small corpus was read whole
 
 
 def score(docs: DataFrame, model: Model, key: str = "doc_id", text: str = "text") -> DataFrame:

@@ -35,6 +35,25 @@ ODD = [None, "", " \n\t", "x" * 5000, "Ünïcödé   text\x0b 中文 😀", "a"
 # Words
 
 
+def test_network_learns_from_every_window(spark, monkeypatch):
+    """Words that the sample of the beginning can't hold have embeddings of their own afterwards, however rows are dealt."""
+    monkeypatch.setattr(pseudo_lm, "TRAIN", 50)
+    monkeypatch.setattr(pseudo_lm, "PART", 1500)
+    monkeypatch.setattr(pseudo_lm, "STEP", 100)
+    texts = [f"left{i % 40} mid{i % 40} right{i % 40} stop" for i in range(1200)]
+    frame = docs(spark, texts).cache()
+    counts = pseudo_lm.word_counts(frame)
+    words = pseudo_lm.vocabulary(counts)
+    start = pseudo_lm.Adagrad(pseudo_lm.untrained(words))
+    net, again = (pseudo_lm.trained_on_all(f, words, start, 4800) for f in (frame, frame.repartition(7, "text")))
+    assert np.abs(net.rows() - again.rows()).max() < 1e-3
+    moved = (net.tables != start.network.tables).any(2)
+    assert moved[:, : len(words.occurrences)].any(0).all()  # each of the 121 words, of 4800 windows
+    near, branch, place = pseudo_lm.sampled_windows(frame, words, 1.0)
+    assert net.log_probabilities(near, branch, place).mean() > start.network.log_probabilities(near, branch, place).mean() + 0.1
+    assert (pseudo_lm.fit(frame).network.tables != pseudo_lm.untrained(words).tables).any(2)[:, : len(words.occurrences)].any(0).all()
+
+
 def test_words_are_those_of_the_definition():
     texts = [t or "" for t in ODD] + ["A b", "a", "", "b A"]
     for t, h in zip(texts, tx.word_hashes(texts), strict=True):
