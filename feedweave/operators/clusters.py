@@ -67,10 +67,20 @@ def anchors(news: DataFrame, pattern: str = X.FACT_ANCHOR) -> DataFrame:
 
 
 def bursts(members: DataFrame, window_ms: int = NEWS_WINDOW, least: int = ANCHOR_LEAST) -> DataFrame:
-    """Anchors with `least` members of two publishers within a window from some member on."""
-    ahead = Window.partitionBy("anchor").orderBy("ms").rangeBetween(0, window_ms)
-    seen = members.where("ms is not null").withColumns({"n": F.count("*").over(ahead), "publishers": F.size(F.collect_set("publisher").over(ahead))})
-    return seen.where((F.col("n") >= least) & (F.col("publishers") >= 2)).select("anchor").distinct()
+    """Anchors with `least` members of two publishers within a window from some member on.
+
+    A window that begins with a member holds `least` members if the member `least - 1` places on is in it, and a
+    second publisher if the next one that isn't the member's is, so a member is looked at once however many are near.
+    """
+    back = Window.partitionBy("anchor").orderBy(F.desc("ms"), F.desc("publisher"))
+    known = members.where("ms is not null")
+    ahead, so_far = back.rowsBetween(Window.unboundedPreceding, -1), back.rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    named = F.when(F.col("publisher").isNotNull(), F.struct("publisher", "ms"))
+    seen = known.withColumns({"_full": F.lag("ms", least - 1).over(back), "_next": F.last(named, ignorenulls=True).over(ahead)})
+    changed = F.when(F.col("_next.publisher") != F.col("publisher"), F.col("_next.ms"))
+    other = F.last(changed, ignorenulls=True).over(so_far)
+    latest = F.col("ms") + window_ms
+    return seen.withColumn("_other", other).where((F.col("_full") <= latest) & (F.col("_other") <= latest)).select("anchor").distinct()
 
 
 def anchor_stats(members: DataFrame) -> DataFrame:

@@ -192,3 +192,19 @@ def test_a_join_without_hot_keys_is_a_left_join(spark):
     got = spread_join(many, one, "k", "n")
     assert got.columns == ["k", "n", "v"]
     assert sorted(map(str, got.collect())) == sorted(map(str, many.join(one, "k", "left").collect()))
+
+
+def test_bursts_equal_brute_force_and_look_at_a_member_once(spark):
+    rng = random.Random(3)
+    rows = [(f"a{rng.randrange(30)}", rng.choice([None, "p", "q", "r"]), rng.choice([None, *range(40)])) for _ in range(400)]
+    rows += [("same", "p", i) for i in range(9)] + [("nulls", p, 5) for p in ("p", None, None, "q")]
+    frame = spark.createDataFrame(rows, "anchor string, publisher string, ms long")
+    for window, least in ((0, 1), (2, 3), (4, 4), (9, 6)):
+        want = set()
+        for a, _, t in rows:
+            near = [p for b, p, u in rows if t is not None and b == a and u is not None and t <= u <= t + window]
+            if len(near) >= least and len({p for p in near if p is not None}) >= 2:
+                want.add(a)
+        found = K.bursts(frame, window, least)
+        assert {r["anchor"] for r in found.collect()} == want
+    assert "collect_set" not in found._jdf.queryExecution().optimizedPlan().toString()
