@@ -10,11 +10,11 @@ edges, and an item whose keys are all its own never leaves the JVM.
 from __future__ import annotations
 
 import json
+from bisect import bisect_left, bisect_right, insort
 from datetime import datetime
-from functools import lru_cache
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from feedweave.functions import text as X
@@ -59,7 +59,6 @@ def serialized(value) -> str:
     return json.dumps(bare(value), sort_keys=True, separators=(",", ":"), ensure_ascii=False)
 
 
-@lru_cache(maxsize=100_000)
 def korean_key(text: str) -> tuple:
     """An order like that of Korean dictionaries: marks, digits, Hangul, Latin with lower
     case first, then the rest; code units where that makes no difference."""
@@ -144,6 +143,12 @@ def _fits(groups: list[Group]) -> bool:
     return all(t == t for t in times) and max(times) - min(times) <= DAY_MS
 
 
+def _around(groups: list[tuple[float, int, Group]], new: Group) -> list[Group]:
+    """Groups, in order of their earliest time, whose earliest time is within a day of all times of `new`."""
+    low, high = bisect_left(groups, (new.latest - DAY_MS,)), bisect_right(groups, new.earliest + DAY_MS, key=lambda x: x[0])
+    return [g for _, _, g in groups[low:high]]
+
+
 def processing_order(item: dict) -> tuple:
     time = lambda f: m if (m := millis(item[f])) == m else float("-inf")
     parts = ("|".join(str(item[f]) for f in ("type", "sourceType", "id", "url", "originalUrl")), serialized({k: v for k, v in item.items() if k not in _ACCUMULATED}), serialized(item))
@@ -155,30 +160,33 @@ def resolve(items: list[dict]) -> list[dict]:
 
     URLs and stories join groups whatever their times; a title and publisher only while
     all that would be joined spans a day at most, tried in the order of the groups' times.
+    Groups of a title are in order of their earliest time, so those within a day are found at once.
     """
     by_key: dict[tuple[str, str], Group] = {}
-    by_near: dict[str, list[Group]] = {}
-    for item in sorted(items, key=processing_order):
+    by_near: dict[str, list[tuple[float, int, Group]]] = {}
+    for number, item in enumerate(sorted(items, key=processing_order)):
         new = Group(item)
+        new.number = number
         keys = [*(("url", u) for u in new.urls), *(("story", s) for s in new.stories)]
         found = list({id(g): g for k in keys if (g := by_key.get(k))}.values())
-        near = {id(g): g for n in new.near for g in by_near.get(n, ())}.values()
-        if new.earliest == new.earliest:
+        if new.earliest == new.earliest and new.latest == new.latest:
+            near = {id(g): g for n in new.near for g in _around(by_near.get(n, []), new)}.values()
             for g in sorted(near, key=lambda g: (g.earliest, g.latest, korean_key(g.item["id"]))):
                 if g not in found and _fits([*found, g, new]):
                     found.append(g)
         target = found[0] if found else new
         for g in found:
-            for n in g.near:
-                by_near[n].remove(g)
+            for n in g.near if g.earliest == g.earliest else ():
+                del by_near[n][bisect_left(by_near[n], (g.earliest, g.number))]
         for g in [*found[1:], new] if found else ():
             target.take(g)
         if found:
             target.near.add(_near(target.item))
-        for k in [*(("url", u) for u in target.urls), *(("story", s) for s in target.stories)]:
-            by_key[k] = target
-        for n in target.near:
-            by_near.setdefault(n, []).append(target)
+        for g in [*found[1:], new]:  # the keys of the target are its own already
+            for k in [*(("url", u) for u in g.urls), *(("story", s) for s in g.stories)]:
+                by_key[k] = target
+        for n in target.near if target.earliest == target.earliest else ():  # without a time none is near
+            insort(by_near.setdefault(n, []), (target.earliest, target.number, target))
     groups = {id(g): g for g in by_key.values()}
     return [g.result() for g in groups.values()]
 
@@ -194,10 +202,23 @@ def keys_of(items: DataFrame) -> DataFrame:
     return items.select("row", F.explode(F.array_distinct(F.concat(own, urls, stories, near))).alias("key"))
 
 
+def _parted(keys: DataFrame, items: DataFrame) -> DataFrame:
+    """`keys` with those of titles and publishers parted where two neighbours in time are more than two days
+    from each other: a title joins what is within a day (two, as times without a zone may be read in another).
+    A title of which a row has a time that isn't known stays whole."""
+    times = items.select("row", F.unix_millis(F.try_to_timestamp("publishedAt")).alias("published"), F.col("dedupeState.earliestPublishedAt").cast("long").alias("kept"))
+    titles = keys.where(F.startswith("key", F.lit("n:"))).join(times, "row").withColumn("ms", F.least("published", "kept"))
+    order = Window.partitionBy("key").orderBy("ms")
+    gap = F.when(F.col("ms") - F.lag("ms").over(order) > 2 * DAY_MS, 1).otherwise(0)
+    whole = F.max(F.col("published").isNull()).over(Window.partitionBy("key"))
+    titles = titles.withColumns({"gap": gap, "whole": whole}).withColumn("part", F.when(F.col("whole"), 0).otherwise(F.sum("gap").over(order)))
+    return keys.where(~F.startswith("key", F.lit("n:"))).unionByName(titles.select("row", F.concat("key", F.lit("|"), "part").alias("key")))
+
+
 def with_components(items: DataFrame) -> DataFrame:
     """`items` (with a column row) with the component of each row; rows that share no key
     have none."""
-    keys = keys_of(items)
+    keys = cut(_parted(keys_of(items), items))
     hubs = keys.groupBy("key").agg(F.min("row").alias("hub"), F.count("*").alias("n")).where("n > 1")
     edges = keys.join(hubs, "key").where("row <> hub").select(F.col("row").alias("a"), F.col("hub").alias("b"))
     found = components(edges).withColumnRenamed("node", "row")

@@ -93,3 +93,25 @@ def test_components_give_what_one_pass_over_all_gives(spark):
 
 def test_empty(spark):
     assert dedupe(spark.createDataFrame([], ITEM)).count() == 0
+
+
+def test_a_title_of_every_week_is_no_component(spark):
+    from feedweave.operators.dedupe import with_components
+
+    items = [item(n, n * 7 * DAY_MS) for n in range(30)] + [item(40, DAY_MS // 2), item(41, 7 * DAY_MS + 5)]
+    odd = [item(50, title="Odd"), item(51, 40 * DAY_MS, title="Odd") | {"publishedAt": "soon"}, item(52, 90 * DAY_MS, title="Odd")]
+    frame = spark.createDataFrame([{"row": i, **x} for i, x in enumerate(items + odd)], "row long, " + ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in ITEM.fields))
+    sizes = {r["component"]: r["count"] for r in with_components(frame).where("component is not null").groupBy("component").count().collect()}
+    assert sizes == {0: 2, 1: 2, 32: 3}  # and none of 32 items
+
+
+def test_many_items_of_a_title_take_time_in_proportion():
+    import time
+
+    def took(n):
+        began = time.process_time()
+        assert len(resolve([item(i, i * 2 * DAY_MS) for i in range(n)])) == n
+        return time.process_time() - began
+
+    took(500)
+    assert took(8000) < 5 * 4 * took(2000)  # four times the items; every group was tried with each before, sixteen times
