@@ -5,6 +5,7 @@ from __future__ import annotations
 import html
 import re
 import unicodedata
+from collections.abc import Iterator
 from html.entities import html5
 from itertools import accumulate
 
@@ -167,21 +168,25 @@ def completeness(title: Column | str, summary: Column | str) -> Column:
 PART = T.StructType([T.StructField("start", T.IntegerType()), T.StructField("text", T.StringType()), T.StructField("highlighted", T.BooleanType())])
 
 
-@F.pandas_udf(T.ArrayType(PART))
-def highlight_parts(text: pd.Series, query: pd.Series) -> pd.Series:
+def _split(t: str | None, q: str | None) -> list[dict] | None:
+    if t is None:
+        return None
+    wanted = (q or "").strip()
+    pieces = re.split(f"({re.escape(wanted)})", t, flags=re.I) if wanted else [t]  # every second is a match
+    starts = accumulate((len(p.encode("utf-16-le")) // 2 for p in pieces), initial=0)
+    parts = [{"start": a, "text": p, "highlighted": i % 2 == 1} for i, (a, p) in enumerate(zip(starts, pieces, strict=False)) if p]
+    return parts or [{"start": 0, "text": "", "highlighted": False}]
+
+
+@F.pandas_udf(T.ArrayType(PART), F.PandasUDFType.SCALAR_ITER)
+def highlight_parts(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
     """A text split at the matches of the query, whatever the case; starts are in UTF-16
-    units.  Without a query or a match the text is one part."""
-
-    def split(t: str | None, q: str | None) -> list[dict] | None:
-        if t is None:
-            return None
-        wanted = (q or "").strip()
-        pieces = re.split(f"({re.escape(wanted)})", t, flags=re.I) if wanted else [t]  # every second is a match
-        starts = accumulate((len(p.encode("utf-16-le")) // 2 for p in pieces), initial=0)
-        parts = [{"start": a, "text": p, "highlighted": i % 2 == 1} for i, (a, p) in enumerate(zip(starts, pieces, strict=False)) if p]
-        return parts or [{"start": 0, "text": "", "highlighted": False}]
-
-    return pd.Series([split(t, q) for t, q in zip(text, query, strict=True)])
+    units.  Without a query or a match the text is one part.  Parts are handed on by slices of a batch."""
+    from feedweave.operators.evidence import slices
+
+    for batch in batches:
+        for texts, queries in slices(*batch):
+            yield pd.Series([_split(t, q) for t, q in zip(texts, queries, strict=True)])
 
 
 def normalize_ellipses(c: Column | str) -> Column:

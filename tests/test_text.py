@@ -113,3 +113,12 @@ def test_dates_as_shown(spark):
     df = spark.createDataFrame(made, "t string, m int").select(F.col("t").cast("timestamp").alias("t"), "m")
     now = F.timestamp_millis(F.unix_millis("t") + F.col("m") * 60_000)
     assert [tuple(r) for r in df.select(X.seoul_date("t", now), X.seoul_date("t")).collect()] == [("30분 전", "2024.02.01"), ("5시간 전", "2024.02.01"), ("3일 전", "2024.01.31"), ("2024.01.01", "2024.01.01")]
+
+
+def test_highlighted_parts_are_handed_on_by_slices():
+    import pandas as pd
+
+    texts = pd.Series(["the " * 200_000] * 4 + ["a The", None, ""])
+    got = list(X.highlight_parts.func(iter([(texts, pd.Series(["the"] * 7))])))
+    assert len(got) > 2 and sum(map(len, got)) == 7  # one list of all parts before
+    assert list(got[-1])[-3:] == [[{"start": 0, "text": "a ", "highlighted": False}, {"start": 2, "text": "The", "highlighted": True}], None, [{"start": 0, "text": "", "highlighted": False}]]
