@@ -17,7 +17,7 @@ from pyspark.sql import types as T
 
 from feedweave.functions.text import NO_NAME, join_summary_and_tags
 from feedweave.operators.classify import REPLACED, RESULT, Issue, Person, has, multilingual_governance
-from feedweave.operators.evidence import Reading, RuleList, View, decide, with_cues
+from feedweave.operators.evidence import Reading, RuleList, View, decide, slices, with_cues
 from feedweave.operators.football import FOOTBALL_WORDS, STRONG_ISSUE_WORDS, Football, FootballClassifier
 from feedweave.operators.reports import effective_tier
 
@@ -258,10 +258,10 @@ def tiered(
             rule = decide(NEWS_RULES, NOTHING, Seen(classifier.football, title, summary, found))
             return found, dict(zip(("rule", "outcome"), rule, strict=True))
 
-        for titles, summaries in batches:
+        for titles, summaries in (part for batch in batches for part in slices(*batch)):
             yield pd.DataFrame([one(*row) for row in zip(titles, summaries, strict=True)], columns=["classification", "gate"])
 
-    find = F.pandas_udf(run, _FOUND, F.PandasUDFType.SCALAR_ITER)
+    find = F.pandas_udf(run, _FOUND, F.PandasUDFType.SCALAR_ITER).asNondeterministic()  # or a filter on what is found reads all again
     found = items.withColumn("_found", find(F.when(asked, F.coalesce("title", F.lit(""))), F.when(asked, summary)))
     return found.withColumns({"classification": F.col("_found.classification"), "gate": F.col("_found.gate")}).drop("_found")
 

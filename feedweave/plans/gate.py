@@ -30,8 +30,12 @@ _CUT = r"""list_filter(list_transform(string_split_regex(regexp_replace(regexp_r
   lambda s: regexp_replace(replace(s, chr(1), '.'), '^\s+|\s+$', '', 'g')), lambda s: s <> '')"""
 
 
+#: Cuts a text into no segments, where only the cues of whole texts are asked for.
+_WHOLE = lambda text: []
+
+
 def _read_documents(spark: SparkSession, sf: str) -> DataFrame:
-    make = lambda: E.Reading(E.Reader(_LEXICON), A.segments, lambda text: {"text": text})
+    make = lambda: E.Reading(E.Reader(_LEXICON), _WHOLE, lambda text: {"text": text})
     return E.with_cues(read(spark, sf, "documents"), [F.col("text")], ("text",), make).withColumn("e", F.col("evidence.text"))
 
 
@@ -78,8 +82,8 @@ def local_bodies(spark: SparkSession, sf: str) -> DataFrame:
     places = gazetteer(nation.select("n_name"))
     line = F.concat(F.when(n % 5 == 0, "가").otherwise(F.concat("c_mktsegment", F.lit(" "))), "n_name", F.when(n % 3 == 0, "시 ").when(n % 3 == 1, "").otherwise(" 시민"), F.lit("축구협회"))
     rows = read(spark, sf, "customer").join(nation, F.col("n_nationkey") == F.col("c_nationkey")).select("c_custkey", line.alias("line"))
-    make = lambda: E.Reading(Football(places).reader, A.segments, lambda text: {"text": text})
-    return E.with_cues(rows, [F.col("line")], ("text",), make).select("c_custkey", F.array_contains("evidence.text.cues", "local_body").alias("local"))
+    make = lambda: E.Reading(Football(places).reader, _WHOLE, lambda text: {"text": text})
+    return E.with_cues(E.spread(rows), [F.col("line")], ("text",), make).select("c_custkey", F.array_contains("evidence.text.cues", "local_body").alias("local"))
 
 
 # The feed's rules
@@ -106,7 +110,7 @@ def _korean(text: Column) -> Column:
 
 
 def _korean_items(spark: SparkSession, sf: str) -> DataFrame:
-    d = read(spark, sf, "documents").withColumn("text", F.coalesce("text", F.lit("")))
+    d = E.spread(read(spark, sf, "documents")).withColumn("text", F.coalesce("text", F.lit("")))
     first = F.substring_index("text", ".", 1)
     return d.select("doc_id", _korean(first).alias("title"), _korean(F.expr("substring(text, length(substring_index(text, '.', 1)) + 2)")).alias("summary"), "lang", "source")
 

@@ -3,9 +3,11 @@
 import random
 import re
 
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
+from feedweave.operators import evidence as E
 from feedweave.operators import football, gate
 from feedweave.operators.classify import Issue, Person
 from feedweave.operators.evidence import Lexicon, Link, Reader, clauses, each, words
@@ -188,3 +190,27 @@ def test_gazetteer(spark):
     assert football.gazetteer(names) == ("금산", "부산")
     with pytest.raises(ValueError, match="more than 1"):
         football.gazetteer(names, 1)
+
+
+def test_plain_words_are_found_without_a_test_of_each(monkeypatch):
+    asked = []
+    whole = E.Reader._stands
+    monkeypatch.setattr(E.Reader, "_stands", lambda self, name, word, *x: asked.append(word) or whole(self, name, word, *x))
+    reader = E.Reader(E.Lexicon({"a": ("축구 협회", "감독"), "b": ("<kfa>", "축구협회"), "c": ("감␣독",)}, {"near": (("a", 3, "b"),)}))
+    assert reader.places("감독 축구협회 축구  협회 축 구협회") == {"a": [(0, 2), (3, 7), (8, 14)], "b": [(3, 7)]}
+    assert set(asked) == {"감␣독"}
+    assert reader.cues("감 독") == {"c"} and reader.cues("감독\n축구협회") == {"a", "b"} and reader.cues("감독, KFA") == {"a", "b", "near"}
+
+
+def test_slices_are_small_and_lose_no_row():
+    texts = pd.Series([None, "x" * 700_000, "y" * 700_000, *("z",) * 1200])
+    parts = [a for a, _ in E.slices(texts, texts)]
+    assert pd.concat(parts).equals(texts) and max(map(len, parts)) <= 500 and [len(p) for p in parts] == [1, 1, 1, 500, 500, 200]
+    assert list(E.slices(texts[:0])) == []
+
+
+def test_whole_texts_need_no_segments_and_lines_are_spread(spark):
+    from feedweave.plans import gate as plans
+
+    assert plans._read_documents(spark, "/root/testdata/sf0.001").where("size(e.segments) > 0").count() == 0
+    assert plans.local_bodies(spark, "/root/testdata/sf0.001").rdd.getNumPartitions() > 1
