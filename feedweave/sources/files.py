@@ -58,10 +58,10 @@ def read_shards(spark: SparkSession, folder: str) -> DataFrame:
 def write_shards(items: DataFrame, root: str, stories: DataFrame | None = None) -> str:
     """Items by day as Parquet in a new version folder of `root`, beside it their stories,
     and then one pointer to both.  Days without items are gone with the old version; readers
-    of that aren't disturbed, and a step that fails leaves it the current one.  Each day's
-    rows are dealt to few tasks, so days have few files."""
+    of that aren't disturbed, and a step that fails leaves it the current one.  A day is
+    one file, and several where its rows are too many for a task."""
     path = f"{root}/v-{time.time_ns():020d}"
-    items.withColumn("shard_date", shard_date()).repartition("shard_date", F.pmod(F.xxhash64("id"), F.lit(4))).write.partitionBy("shard_date").parquet(path)
+    items.withColumn("shard_date", shard_date()).hint("rebalance", "shard_date").write.partitionBy("shard_date").parquet(path)
     if stories is not None:
         stories.write.parquet(f"{path}-stories")
     schema = T.StructType([*items.schema.fields, T.StructField("shard_date", T.StringType())])

@@ -188,3 +188,10 @@ def test_history_reads_each_content_of_a_day_once(spark, tmp_path):
     P.drop_old_versions(spark, root, 1)
     assert sorted(r["id"] for r in P.history(spark, root).collect()) == ["a", "a", "b"]
     assert P.read_versions(spark, root).count() == 3
+
+
+def test_a_day_of_few_items_is_one_file(spark, tmp_path):
+    path = P.write_shards(rows(spark, [{"id": f"i{n}", "publishedAt": f"2026-02-{n % 9 + 1:02d}T00:00:00Z"} for n in range(90)]), str(tmp_path))
+    from pathlib import Path
+
+    assert len(list(Path(path).glob("shard_date=*/*.parquet"))) == 9
