@@ -44,6 +44,10 @@ ENDINGS = 2048
 TRAIN, WIDTH, RATE = 300_000, 16, 0.25
 #: Words of a part, about, windows of one of its steps, and the unit in which its moves are added up.
 PART, STEP, SCALE = 1 << 22, 1 << 16, 1 << 24
+#: Rows below one node that go through its softmaxes together, and rows that fill a processor's cache.
+BLOCK, ROWS = 64, 4096
+#: Logits whose exponentials and their sums are safe in single precision.
+SAFE = 60
 #: What is added to the occurrences of a word outside the vocabulary elsewhere.
 SMOOTHING = 0.1
 #: The place of the edge of a document among the embeddings.
@@ -210,78 +214,144 @@ class Network:
         return Network(own(tables[:, :-1]).reshape(self.tables.shape), own(root[:, :-1].T), own(root[:, -1]), [own(x[:, :-1]) for x in (one, two)], [own(x[:, -1]) for x in (one, two)])
 
     def hidden(self, near: np.ndarray) -> np.ndarray:
-        total = self.tables[0][near[:, 0]]
-        for k in range(1, 4):
-            total += self.tables[k][near[:, k]]
-        return np.tanh(total)
-
-    def _groups(self, place: np.ndarray) -> Iterator[tuple[int, int, int, np.ndarray, np.ndarray]]:
-        """(level, first node, last node, rows, node of each) for the rows of vocabulary words
-        that go on through the branches of one node."""
-        inside = np.flatnonzero(place < VOCABULARY)
-        order = inside[np.argsort(place[inside].astype(np.uint16), kind="stable")]
-        for level, below in enumerate((BRANCHES, 1)):
-            node = place[order] // below
-            cuts = np.searchsorted(node, np.arange(0, VOCABULARY // below + 1, BRANCHES))
-            for g in np.flatnonzero(np.diff(cuts)):
-                yield level, g * BRANCHES, (g + 1) * BRANCHES, order[cuts[g] : cuts[g + 1]], node[cuts[g] : cuts[g + 1]]
+        """What comes out of tanh for each window, and a column of ones for the biases; a last row, for blocks that aren't full, is 0."""
+        n, width = len(near), self.tables.shape[2]
+        out = np.zeros((n + 1, width + 1), self.tables.dtype)
+        for low in range(0, n, ROWS):
+            some = near[low : low + ROWS]
+            total = self.tables[0].take(some[:, 0], 0)
+            for k in range(1, 4):
+                total += self.tables[k].take(some[:, k], 0)
+            np.tanh(total, out=out[low : low + len(some), :width])
+        out[:n, width] = 1
+        return out
+
+    def _root(self) -> np.ndarray:
+        """Weights of the root's branches, a row each, with the bias last."""
+        return np.concatenate([self.root.T, self.root_bias[:, None]], 1)
+
+    def _below(self, place: np.ndarray, hidden: np.ndarray, rows: np.ndarray, node: np.ndarray) -> Iterator[tuple[slice, np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+        """(blocks, inputs, weights, logits, picked) for the `blocks` of _blocks, some at a time.  Weights and logits are those
+        of the branches of the node before the last and of the last; `picked` are the two places of each row's branches in
+        the flattened logits.
+        """
+        one, two = (np.concatenate([w, b[:, None]], 1).reshape(-1, BRANCHES, w.shape[1] + 1) for w, b in zip(self.levels, self.biases, strict=True))
+        place = np.append(place, 0)
+        many = max(1, ROWS // BLOCK)
+        first = (np.arange(many) * 2 * BRANCHES * BLOCK)[:, None] + np.arange(BLOCK)
+        for low in range(0, len(node), many):
+            some, at = rows[low : low + many], node[low : low + many]
+            weights = np.concatenate([one[at // BRANCHES], two[at]], 1)
+            inputs, words = hidden.take(some, 0), place.take(some)
+            logits = (weights @ inputs.transpose(0, 2, 1)).reshape(len(at), 2, BRANCHES, BLOCK)
+            picked = np.stack([words // BRANCHES % BRANCHES, words % BRANCHES + BRANCHES], 1) * BLOCK + first[: len(at), None]
+            yield slice(low, low + len(at)), inputs, weights, logits, picked
 
     def log_probabilities(self, near: np.ndarray, branch: np.ndarray, place: np.ndarray) -> np.ndarray:
         """Of each word, or for words outside the vocabulary of their branch."""
         out = np.empty(len(near), np.float32)
-        hidden = np.empty((len(near), self.root.shape[0]), np.float32)
-        for low in range(0, len(near), 8192):
-            part = slice(low, low + 8192)
-            hidden[part] = h = self.hidden(near[part])
-            logits = self.root.T @ h.T
-            logits += self.root_bias[:, None]
-            out[part] = logits[branch[part], np.arange(len(h))]
+        hidden, root = self.hidden(near), self._root()
+        for low in range(0, len(near), ROWS):
+            part = slice(low, min(low + ROWS, len(near)))
+            logits = root @ hidden[part].T
+            out[part] = logits[branch[part], np.arange(logits.shape[1])]
             out[part] -= _exp(logits)[1]
-        for level, low, high, rows, node in self._groups(place):
-            for at in range(0, len(rows), 16384):
-                some = rows[at : at + 16384]
-                logits = self.levels[level][low:high] @ hidden[some].T
-                logits += self.biases[level][low:high, None]
-                picked = logits[node[at : at + 16384] - low, np.arange(len(some))]
-                out[some] += picked - _exp(logits)[1]
+        rows, node, at = _blocks(place)
+        below = np.zeros((len(node) + 1, BLOCK), np.float32)
+        for blocks, _, _, logits, picked in self._below(place, hidden, rows, node):
+            got = logits.ravel().take(picked)
+            got -= _exp(logits)[1]
+            got.sum(1, out=below[blocks])
+        out += below.ravel().take(at)
         return out
 
+    def slopes(self, near: np.ndarray, branch: np.ndarray, place: np.ndarray) -> tuple[float, np.ndarray, np.ndarray, list[tuple[np.ndarray, np.ndarray]]]:
+        """Mean loss of some windows, and its gradients by what goes into tanh, by the root's branches and, level by level,
+        (nodes, gradients) below.  Those of weights are rows with the bias last."""
+        n, root = len(near), self._root()
+        hidden = self.hidden(near)
+        width = hidden.shape[1] - 1
+        back, by_root, loss = np.empty((n, width), hidden.dtype), np.zeros_like(root), 0.0
+        for low in range(0, n, ROWS):
+            part = slice(low, min(low + ROWS, n))
+            h, mine = hidden[part], (branch[part], np.arange(part.stop - low))
+            error = root @ h.T
+            loss -= float(error[mine].sum())
+            sums, logs = _exp(error)
+            loss += float(logs.sum())
+            error *= 1 / (n * sums)
+            error[mine] -= 1 / n
+            back[part] = error.T @ root[:, :width]
+            by_root += error @ h
+        rows, node, at = _blocks(place)
+        backs = np.zeros((len(node) + 1, BLOCK, width), hidden.dtype)
+        found = np.empty((len(node), 2 * BRANCHES, width + 1), hidden.dtype)
+        for blocks, inputs, weights, error, picked in self._below(place, hidden, rows, node):
+            flat = error.ravel()
+            lost = -flat.take(picked)
+            sums, logs = _exp(error)
+            lost += logs
+            loss += float(lost.sum(1)[rows[blocks] < n].sum())
+            error *= 1 / (n * sums[:, :, None])
+            flat[picked] -= 1 / n
+            error = error.reshape(-1, 2 * BRANCHES, BLOCK)
+            np.matmul(error.transpose(0, 2, 1), weights[:, :, :width], out=backs[blocks])
+            np.matmul(error, inputs, out=found[blocks])  # nothing from rows of zeros
+        back = back + backs.reshape(-1, width).take(at, 0)
+        last, below = node, []
+        for level in (1, 0):
+            nodes, summed = _summed(last, found)
+            below.insert(0, (nodes, summed[:, level * BRANCHES :]))
+            last, found = nodes // BRANCHES, summed[:, :BRANCHES]
+        h = hidden[:n, :width]
+        slope = h * h
+        np.subtract(1, slope, out=slope)
+        back *= slope
+        return loss / n, back, by_root, below
+
     def gradients(self, near: np.ndarray, branch: np.ndarray, place: np.ndarray) -> tuple[float, np.ndarray, np.ndarray, np.ndarray, list[tuple[int, int, int, np.ndarray, np.ndarray]]]:
         """Mean loss of some windows, and its gradients by what goes into tanh, by the root's
         weights and biases, and (level, first node, last node) by (weights, biases) below."""
-        n, every = len(near), np.arange(len(near))
-        h = self.hidden(near)
-        error = self.root.T @ h.T
-        error += self.root_bias[:, None]
-        loss = -float(error[branch, every].sum())
-        error, sums = _exp(error)
-        loss += float(sums.sum())
-        error[branch, every] -= 1
-        error /= n
-        back = (self.root @ error).T
-        below = []
-        for level, low, high, rows, node in self._groups(place):
-            u, mine, some = self.levels[level][low:high], (node - low, np.arange(len(rows))), h[rows]
-            e = u @ some.T
-            e += self.biases[level][low:high, None]
-            loss -= float(e[mine].sum())
-            e, sums = _exp(e)
-            loss += float(sums.sum())
-            e[mine] -= 1
-            e /= n
-            back[rows] += e.T @ u
-            below.append((level, low, high, e @ some, e.sum(1)))
-        return loss / n, back * (1 - h * h), (error @ h).T, error.sum(1), below
+        loss, back, by_root, below = self.slopes(near, branch, place)
+        each = [(level, k * BRANCHES, (k + 1) * BRANCHES, g[:, :-1], g[:, -1]) for level, (nodes, found) in enumerate(below) for k, g in zip(nodes.tolist(), found, strict=True)]
+        return loss, back, by_root[:, :-1].T, by_root[:, -1], each
+
+
+def _blocks(place: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Rows of vocabulary words, BLOCK of them below one node of the last level and len(place) where a block isn't full; the
+    node of each block, in order; where each row is in the flattened blocks, behind the last for words outside."""
+    inside = np.flatnonzero(place < VOCABULARY)
+    node = (place[inside] // BRANCHES).astype(np.uint16)
+    order = np.argsort(node, kind="stable")
+    counts = np.bincount(node, minlength=1)
+    blocks = -(-counts // BLOCK)
+    slots = np.arange(len(order)) + np.repeat((np.cumsum(blocks) - blocks) * BLOCK - (np.cumsum(counts) - counts), counts)
+    rows = np.full(blocks.sum() * BLOCK, len(place))
+    rows[slots] = inside[order]
+    at = np.full(len(place), len(rows))
+    at[inside[order]] = slots
+    return rows.reshape(-1, BLOCK), np.repeat(np.arange(len(counts)), blocks), at
+
+
+def _summed(nodes: np.ndarray, found: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The different ones of some nodes in order, and the sums of what was found for each."""
+    nodes, first, counts = np.unique(nodes, return_index=True, return_counts=True)
+    out = found.take(first, 0)
+    for i in np.flatnonzero(counts > 1):
+        found[first[i] : first[i] + counts[i]].sum(0, out=out[i])
+    return nodes, out
 
 
 def _exp(logits: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Softmax of each column, in place, and the logarithms of the columns' sums of exponentials."""
-    most = logits.max(0)
-    logits -= most
+    """Of the logits of softmaxes, along the last axis but one: exponentials, in place, over the largest where single
+    precision needs it; their sums, and the logarithms of the sums of all exponentials."""
+    most = 0.0
+    if logits.max(initial=0) > SAFE or logits.min(initial=0) < -SAFE:
+        most = logits.max(-2)
+        logits -= most[..., None, :]
     np.exp(logits, out=logits)
-    sums = logits.sum(0)
-    logits /= sums
-    return logits, most + np.log(sums)
+    sums = (np.ones((1, logits.shape[-2]), logits.dtype) @ logits)[..., 0, :]
+    return sums, np.log(sums) + most
 
 
 class Adagrad:
@@ -298,16 +368,19 @@ class Adagrad:
         x[at] -= self.rate * gradient / np.sqrt(square[at])
 
     def step(self, near: np.ndarray, branch: np.ndarray, place: np.ndarray) -> None:
-        _, back, by_root, by_bias, below = self.network.gradients(near, branch, place)
+        _, back, by_root, below = self.network.slopes(near, branch, place)
+        columns = np.ascontiguousarray(back.T, np.float64)
         for k in range(4):
-            rows = np.argsort(near[:, k].astype(np.uint16), kind="stable")
-            touched, first = np.unique(near[rows, k], return_index=True)
-            self._move(0, np.add.reduceat(back[rows], first, axis=0), (k, touched))
-        self._move(1, by_root)
-        self._move(2, by_bias)
-        for level, first, last, gradient, bias in below:
-            self._move(3 + level, gradient, slice(first, last))
-            self._move(5 + level, bias, slice(first, last))
+            beside = np.ascontiguousarray(near[:, k], np.int64)
+            touched = np.flatnonzero(np.bincount(beside))
+            self._move(0, np.stack([np.bincount(beside, x)[touched] for x in columns], 1).astype(back.dtype), (k, touched))
+        self._move(1, by_root[:, :-1].T)
+        self._move(2, by_root[:, -1])
+        for level, (nodes, found) in enumerate(below):
+            rows = (nodes[:, None] * BRANCHES + np.arange(BRANCHES)).ravel()
+            found = found.reshape(len(rows), found.shape[2])
+            self._move(3 + level, found[:, :-1], rows)
+            self._move(5 + level, found[:, -1], rows)
 
 
 def untrained(words: Vocabulary, width: int = WIDTH, seed: int = 1) -> Network:

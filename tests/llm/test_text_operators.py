@@ -354,6 +354,29 @@ def test_probabilities_of_all_words_sum_to_one():
     assert np.exp(logp.astype(np.float64)).sum() == pytest.approx(1, abs=1e-4)
 
 
+def test_nodes_go_through_their_softmaxes_together(monkeypatch):
+    """Words below all 676 nodes take a few softmaxes of blocks, not one a node; each has its own node's, with full blocks, partial ones and none."""
+    rng, n = np.random.default_rng(8), pseudo_lm.VOCABULARY
+    words = pseudo_lm.Vocabulary(np.zeros(0, np.uint64), np.zeros(0, int), rng.integers(5, 90, n).astype(float), np.zeros(0, np.uint64), np.zeros(0), np.array([9.0, 5, 3]), np.ones(3))
+    place = np.concatenate([rng.integers(0, 26, 300), np.arange(2 * 26, n, 7), n + np.arange(9)]).astype(np.int32)
+    near = rng.integers(0, n + 9, (len(place), 4)).astype(np.int32)
+    branch = np.where(place < n, place // pseudo_lm.BRANCHES**2, pseudo_lm.BRANCHES + place % 3).astype(np.int32)
+    net = pseudo_lm.train(words, near, branch, place, width=6, epochs=2, batch=500)
+    calls, exp = [], pseudo_lm._exp
+    monkeypatch.setattr(pseudo_lm, "_exp", lambda x: calls.append(np.abs(x).max()) or exp(x))
+    got = net.log_probabilities(near, branch, place)
+    scored = len(calls)
+    loss = net.gradients(near, branch, place)[0]
+    assert scored < 50 and len(calls) - scored < 50  # 703 in either before
+    want = [brute_log_probability(net, near[i], branch[i], place[i]) for i in range(0, len(place), 9)]
+    assert np.allclose(got[::9], want, atol=1e-4) and loss == pytest.approx(-got.mean(dtype=float), abs=1e-4)
+    for weights in (*net.levels, net.root):  # logits to some hundreds, whose exponentials single precision can't hold
+        weights *= 1200 / np.abs(weights).max() / net.root.shape[0]
+    got = net.log_probabilities(near, branch, place)
+    want = [brute_log_probability(net, near[i], branch[i], place[i]) for i in range(0, 300, 9)]
+    assert max(calls) > 100 and np.isfinite(got).all() and np.allclose(got[:300:9], want, rtol=1e-3, atol=1e-2) and np.isfinite(net.gradients(near, branch, place)[1]).all()
+
+
 def test_neighbours_raise_the_likelihood_of_unseen_documents(spark):
     """By half a nat a word at least over the words' shares alone, on documents that the network wasn't trained on."""
     table = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
