@@ -33,6 +33,8 @@ from feedweave.llm.session import cut
 #: Branches of the tree of words; a word needs LEAST occurrences to be in the vocabulary.
 BRANCHES, LEAST = 26, 5
 VOCABULARY = BRANCHES**3
+#: Bits of a hash by which its place is looked up.
+FIRST = 18
 #: The words whose counts tasks hold.
 KNOWN = 1 << 18
 #: Words outside the vocabulary: shorter than the first number of bytes, than the second, longer.
@@ -104,6 +106,11 @@ class Vocabulary:
     tail_occurrences: np.ndarray
     tail_types: np.ndarray
 
+    def __post_init__(self) -> None:
+        """`starts` are where the hashes of each beginning of FIRST bits start, `most` of which have the same."""
+        self.starts = np.searchsorted(self.hashes, np.arange(1 << FIRST, dtype=np.uint64) << np.uint64(64 - FIRST)).astype(np.int32)
+        self.most = int(np.diff(np.append(self.starts, len(self.hashes))).max())
+
     def place(self, data: np.ndarray, w: tx.Words) -> tuple[np.ndarray, np.ndarray]:
         """Place of each word among the embeddings, below VOCABULARY for the words of the tree,
         and its branch of the root, BRANCHES + length class for words outside."""
@@ -113,8 +120,11 @@ class Vocabulary:
         before = np.where(size > 1, data[np.maximum(w.ends - 2, 0)], 0) if len(size) else last
         place = VOCABULARY + (last * 263 + before) % ENDINGS
         if len(self.hashes):
-            at = np.minimum(np.searchsorted(self.hashes, w.hashes), len(self.hashes) - 1)
-            mine = self.hashes[at] == w.hashes
+            at = self.starts.take((w.hashes >> np.uint64(64 - FIRST)).astype(np.int64))
+            for _ in range(self.most):
+                at += self.hashes.take(at, mode="clip") < w.hashes
+            at = np.minimum(at, len(self.hashes) - 1)
+            mine = self.hashes.take(at) == w.hashes
             place = np.where(mine, self.places[at], place)
             tail = np.where(mine, self.places[at] // BRANCHES**2, tail)
         return place.astype(np.int32), tail.astype(np.int32)
@@ -148,12 +158,13 @@ def vocabulary(counts: DataFrame) -> Vocabulary:
     return Vocabulary(known[chosen], places[chosen], times[by_count].astype(np.float64), known, times, totals[:, 0], totals[:, 1])
 
 
-def windows(place: np.ndarray, bounds: np.ndarray) -> np.ndarray:
-    """Places of the words two and one before and one and two after each word."""
-    n = len(place)
+def windows(place: np.ndarray, bounds: np.ndarray, some: np.ndarray | None = None) -> np.ndarray:
+    """Places of the words two and one before and one and two after each word, or after `some` of them."""
     first, last = np.repeat(bounds[:-1], np.diff(bounds)), np.repeat(bounds[1:], np.diff(bounds))
-    out = np.full((n, 4), EDGE, np.int32)
-    at = np.arange(n)
+    at = np.arange(len(place))
+    if some is not None:
+        at, first, last = some, first[some], last[some]
+    out = np.full((len(at), 4), EDGE, np.int32)
     for k, step in enumerate((-2, -1, 1, 2)):
         there = at + step
         inside = (there >= first) & (there < last)
@@ -173,8 +184,10 @@ def sampled_windows(docs: DataFrame, words: Vocabulary, share: float, key: str =
             number = np.arange(len(seed)) - np.repeat(w.bounds[:-1], counts)
             some = np.flatnonzero(tx.pair(seed, number.astype(np.uint64)) <= limit)
             if len(some):
-                place, branch = words.place(data, w)
-                near = windows(place, w.bounds)[some]
+                beside = np.unique(np.clip(some[:, None] + np.arange(-2, 3), 0, len(seed) - 1))
+                place, branch = np.empty(len(seed), np.int32), np.empty(len(seed), np.int32)
+                place[beside], branch[beside] = words.place(data, tx.Words(w.bounds, w.starts[beside], w.ends[beside], w.hashes[beside], w.ranges))
+                near = windows(place, w.bounds, some)
                 yield pa.RecordBatch.from_arrays([*(pa.array(near[:, k]) for k in range(4)), pa.array(branch[some]), pa.array(place[some])], ["a", "b", "c", "d", "branch", "place"])
         tx.release()
 
@@ -297,16 +310,16 @@ class Network:
             error = error.reshape(-1, 2 * BRANCHES, BLOCK)
             np.matmul(error.transpose(0, 2, 1), weights[:, :, :width], out=backs[blocks])
             np.matmul(error, inputs, out=found[blocks])  # nothing from rows of zeros
-        back = back + backs.reshape(-1, width).take(at, 0)
+        backs = backs.reshape(-1, width)
+        for low in range(0, n, ROWS):
+            part = slice(low, min(low + ROWS, n))
+            back[part] += backs.take(at[part], 0)
+            back[part] *= 1 - hidden[part, :width] ** 2
         last, below = node, []
         for level in (1, 0):
             nodes, summed = _summed(last, found)
             below.insert(0, (nodes, summed[:, level * BRANCHES :]))
             last, found = nodes // BRANCHES, summed[:, :BRANCHES]
-        h = hidden[:n, :width]
-        slope = h * h
-        np.subtract(1, slope, out=slope)
-        back *= slope
         return loss / n, back, by_root, below
 
     def gradients(self, near: np.ndarray, branch: np.ndarray, place: np.ndarray) -> tuple[float, np.ndarray, np.ndarray, np.ndarray, list[tuple[int, int, int, np.ndarray, np.ndarray]]]:

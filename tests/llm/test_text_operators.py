@@ -377,6 +377,22 @@ def test_nodes_go_through_their_softmaxes_together(monkeypatch):
     assert max(calls) > 100 and np.isfinite(got).all() and np.allclose(got[:300:9], want, rtol=1e-3, atol=1e-2) and np.isfinite(net.gradients(near, branch, place)[1]).all()
 
 
+def test_words_have_their_places_and_some_their_windows():
+    """Whatever hashes begin alike, and at both ends of the hashes; windows of some words are those of all at these."""
+    rng = np.random.default_rng(9)
+    hashes = np.unique(np.concatenate([rng.integers(0, 1 << 63, 900, dtype=np.uint64) * np.uint64(2), np.arange(40, dtype=np.uint64) * np.uint64(3), ~(np.arange(40, dtype=np.uint64) * np.uint64(3))]))
+    places = rng.permutation(len(hashes))
+    words = pseudo_lm.Vocabulary(hashes, places, np.ones(len(hashes)), hashes, np.ones(len(hashes)), np.zeros(3), np.zeros(3))
+    asked = rng.permutation(np.concatenate([hashes, hashes + np.uint64(1), hashes - np.uint64(1)]))
+    data, starts = np.frombuffer(b"ab", np.uint8), np.zeros(len(asked), np.int64)
+    got, branch = words.place(data, tx.Words(np.array([0, len(asked)]), starts, starts + 2, asked, None))
+    known, other = dict(zip(hashes.tolist(), places.tolist(), strict=True)), pseudo_lm.VOCABULARY + (ord("b") * 263 + ord("a")) % pseudo_lm.ENDINGS
+    assert got.tolist() == [known.get(h, other) for h in asked.tolist()]
+    assert branch.tolist() == [known[h] // pseudo_lm.BRANCHES**2 if h in known else pseudo_lm.BRANCHES for h in asked.tolist()]
+    bounds, some = np.array([0, 3, 3, 4, 1000, len(got)]), np.array([0, 2, 3, 4, 500, 999, 1000, len(got) - 1])
+    assert (pseudo_lm.windows(got, bounds, some) == pseudo_lm.windows(got, bounds)[some]).all()
+
+
 def test_neighbours_raise_the_likelihood_of_unseen_documents(spark):
     """By half a nat a word at least over the words' shares alone, on documents that the network wasn't trained on."""
     table = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
