@@ -189,6 +189,31 @@ def highlight_parts(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[
             yield pd.Series([_split(t, q) for t, q in zip(texts, queries, strict=True)])
 
 
+#: What SQL puts around matches to split a text at them.
+_MARK = "\x01"
+
+
+def _marked(t: str | None, q: str | None) -> list[dict] | None:
+    if t is None:
+        return None
+    wanted = (q or "").strip()
+    pieces = (re.sub(f"({re.escape(wanted)})", rf"{_MARK}\1{_MARK}", t, flags=re.I) if wanted else t).split(_MARK)
+    starts = accumulate(map(len, pieces), initial=0)
+    return [{"start": a, "text": p, "highlighted": i % 2 == 1} for i, (a, p) in enumerate(zip(starts, pieces, strict=False)) if p]
+
+
+@F.pandas_udf(T.ArrayType(PART), F.PandasUDFType.SCALAR_ITER)
+def marked_parts(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
+    """As highlight_parts, the way SQL has it that splits at marks (chr(1)) put around the matches: starts are
+    in characters, an empty text has no part, and marks in the text itself end parts, aren't counted and turn
+    what is highlighted behind them."""
+    from feedweave.operators.evidence import slices
+
+    for batch in batches:
+        for texts, queries in slices(*batch):
+            yield pd.Series([_marked(t, q) for t, q in zip(texts, queries, strict=True)])
+
+
 def normalize_ellipses(c: Column | str) -> Column:
     return F.regexp_replace(_col(c), r"\.{2,}|…+", " ")
 

@@ -37,3 +37,13 @@ def test_entry(spark):
     import __spark_entry__
 
     assert __spark_entry__.entry(spark).count() > 0
+
+
+def test_highlighted_parts_of_odd_texts_are_those_of_the_sql(spark, tmp_path):
+    made = ["", None, "\U0001f600the x The", "x\U0001f600the", "a\x01the\x01b", "\x01", "a\U0001f600\x01b the", "the", "thethe", " ", "\x01\x01the", "nİtheſthe\r\nTHE"]
+    docs = spark.createDataFrame(list(enumerate(made)), "doc_id long, text string")
+    docs.coalesce(1).write.parquet(f"{tmp_path}/documents.parquet")
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW documents AS SELECT * FROM '{tmp_path}/documents.parquet/*.parquet'")
+    got = catalogue.QUERIES["highlight_parts"](spark, str(tmp_path)).collect()
+    assert rounded(tuple(r) for r in got) == rounded(con.sql(catalogue.ORACLES["highlight_parts"]).fetchall())
