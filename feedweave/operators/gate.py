@@ -8,7 +8,7 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator
-from functools import cached_property
+from functools import cached_property, lru_cache
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -242,6 +242,7 @@ def tiered(
     """`items` (title, summary) with `classification` and `gate`, a struct of the rule that decided and
     its outcome: primary, secondary or reject.
 
+    Items with the texts of one before them are not read again (evidence.spread brings them together).
     Tags are read with the summary.  Where `when` doesn't hold, nothing is read and both are null.
     Null titles and summaries are empty; an item without evidence is rejected by no_subject.
     """
@@ -251,6 +252,7 @@ def tiered(
     def run(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.DataFrame]:
         classifier = FootballClassifier(issues, people, localities, districts)
 
+        @lru_cache(maxsize=32)  # items that are alike may come one after another
         def one(title: str | None, summary: str | None) -> tuple[dict | None, dict | None]:
             if title is None:
                 return None, None
@@ -323,6 +325,10 @@ def video_tiers(videos: DataFrame, issues: list[Issue], people: list[Person], lo
     return tagged.withColumns({"contentTier": outcome, "stage": stage, "classification": final}).drop("_visible", "_gate", "_spoken", "_may", "gate")
 
 
+#: Channels of a policy that are broadcast, at most.
+_CHANNELS = 100_000
+
+
 def reclassified_videos(items: DataFrame, policy: DataFrame, issues: list[Issue], people: list[Person], localities: tuple[str, ...] = (), districts: tuple[str, ...] = ()) -> DataFrame:
     """Items with what the rules find now in videos (sourceType youtube, a struct `youtube` with channelId,
     tags, channelStatus and contentRelevanceTier): those without the struct, of blocked channels
@@ -330,6 +336,8 @@ def reclassified_videos(items: DataFrame, policy: DataFrame, issues: list[Issue]
     video = F.coalesce(F.col("sourceType") == "youtube", F.lit(False))
     rows = items.where(~video | F.col("youtube").isNotNull()).withColumn("_channel", F.when(video, F.col("youtube.channelId")))
     known = policy.select(F.col("channel_id").alias("_channel"), F.col("status").alias("_status"))
+    if policy.limit(_CHANNELS + 1).count() <= _CHANNELS:
+        known = F.broadcast(known)  # the texts of videos stay where they are
     rows = rows.join(known, "_channel", "left").withColumn("_status", F.coalesce("_status", F.lit("unlisted"))).where(~video | (F.col("_status") != "blocked"))
     rows = rows.withColumn("_tags", F.when(video, F.col("youtube.tags")))
     others, videos = rows.where(~video), rows.where(video)

@@ -110,7 +110,7 @@ def _korean(text: Column) -> Column:
 
 
 def _korean_items(spark: SparkSession, sf: str) -> DataFrame:
-    d = E.spread(read(spark, sf, "documents")).withColumn("text", F.coalesce("text", F.lit("")))
+    d = E.spread(read(spark, sf, "documents"), F.col("text")).withColumn("text", F.coalesce("text", F.lit("")))
     first = F.substring_index("text", ".", 1)
     return d.select("doc_id", _korean(first).alias("title"), _korean(F.expr("substring(text, length(substring_index(text, '.', 1)) + 2)")).alias("summary"), "lang", "source")
 

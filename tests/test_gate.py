@@ -214,3 +214,29 @@ def test_whole_texts_need_no_segments_and_lines_are_spread(spark):
 
     assert plans._read_documents(spark, "/root/testdata/sf0.001").where("size(e.segments) > 0").count() == 0
     assert plans.local_bodies(spark, "/root/testdata/sf0.001").rdd.getNumPartitions() > 1
+
+
+TOLD = ["서울축구협회 우승. 대한축구협회, 국민의힘 감사 결과; 농협 조합장 축협 회장", "한국 축구 대표팀 감독 선임 문체부 감사 KFA 정관", "대한체육회 KFA 회장 선거. 야구 감독, 일본 축구협회 비교 대신 KFA", "감사합니다 팬 여러분, 국회 청문회 홍명보 후임 3. 프로야구 KBO 협회"]
+
+
+def test_cues_that_are_asked_for_one_by_one_are_those_of_the_whole_reading():
+    from feedweave.operators.football import Football, lexicon
+
+    for told in (*TOLD, " \n".join(TOLD * 4)):
+        f = Football(("서울",), ("중",))
+        names = [*E.Reader(lexicon(("서울",), ("중",))).lexicon.families, *f.reader.options, *f.reader.gaps, *f.reader.shapes, *f.reader.order]
+        want = f.reader.cues(told)
+        assert want and {n for n in names if n in E.Cues(f.reader, told)} == want
+        parts = f.segments(told)
+        assert all(i in parts.where(n) for i, s in enumerate(parts) for n in f.reader.cues(s)) and parts.where("other_body") < set(range(len(parts)))
+
+
+def test_a_rule_reads_only_segments_that_can_decide_it():
+    from feedweave.operators.football import Football
+
+    f, read = Football(), []
+    found = f.reader.found
+    f.reader.found = lambda text, *families: (read.append(text.text), found(text, *families))[1]
+    view = E.View(f.cues, f.segments, ". ".join(f"경기 소식 {i} 선수" for i in range(99)) + ". 프로야구 KBO 감독. 한국 축구")
+    assert view.some("other_body") and not view.some("ministry_audit")
+    assert len(read) < 5  # a hundred before
