@@ -240,3 +240,11 @@ def test_a_rule_reads_only_segments_that_can_decide_it():
     view = E.View(f.cues, f.segments, ". ".join(f"경기 소식 {i} 선수" for i in range(99)) + ". 프로야구 KBO 감독. 한국 축구")
     assert view.some("other_body") and not view.some("ministry_audit")
     assert len(read) < 5  # a hundred before
+
+
+def test_rows_that_are_alike_come_one_after_another(spark):
+    rows = spark.createDataFrame([(i, None if i % 7 == 6 else f"t{i % 7}") for i in range(70)], "id long, text string").repartition(5)
+    got = E.spread(rows, F.col("text")).select("id", "text", F.spark_partition_id().alias("p")).collect()
+    assert sorted(r["id"] for r in got) == list(range(70)) and set(got[0].asDict()) == {"id", "text", "p"}
+    runs = sum(a["text"] != b["text"] for a, b in zip(got, got[1:], strict=False)) + 1
+    assert runs == 7 and len({(r["text"], r["p"]) for r in got}) == 7
